@@ -7,6 +7,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from siftstone.cluster import ship_package
 from siftstone.params import PLAIN, STRIPPED
 from siftstone.plans import report
 from siftstone.plans.dedup import deduplicate, deduplicate_stripped
@@ -46,6 +47,7 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("siftstone").getOrCreate()
+    ship_package(spark)
     docs = read_documents(spark, args.input, args.input_format, args.id_column, args.text_column)
     if args.command == "inspect":
         for key, value in inspect(docs, args.id_column).items():
