@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from siftstone.llm.grouping import components, record_number
 from siftstone.llm.layout import copies_by_layout, equal_contents
+from siftstone.llm.mixing import mix
 from siftstone.llm.near import similar_groups, similar_pairs
+from siftstone.llm.packing import fills, pack
 from siftstone.llm.repetition import repetition, repetitive
 
 
@@ -48,7 +50,28 @@ def p4_contents(spark, d):
     return equal_contents(table(spark, d, "documents"))[0].select("first_doc", "copies")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_share, p2_found, p3_found, p3_groups, p4_found, p4_contents)}
+def p6_containers(spark, d):
+    """The container of each text, or of each piece of a text above the capacity."""
+    return pack(table(spark, d, "documents"), table(spark, d, "pack_sizes"))
+
+
+def p6_fill(spark, d):
+    """How full each container is."""
+    sizes = table(spark, d, "pack_sizes")
+    return fills(pack(table(spark, d, "documents"), sizes), sizes)
+
+
+def p7_drawn(spark, d):
+    """The chosen documents with their uses."""
+    return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p7_shares(spark, d):
+    """Wanted and reached shares of each source."""
+    return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_share, p2_found, p3_found, p3_groups, p4_found, p4_contents, p6_containers, p6_fill, p7_drawn, p7_shares)}
 
 
 # ---- SQL
