@@ -13,6 +13,7 @@ from siftstone.llm.mixing import mix
 from siftstone.llm.near import similar_groups, similar_pairs
 from siftstone.llm.packing import fills, pack
 from siftstone.llm.repetition import repetition, repetitive
+from siftstone.llm.sentences import sentence_units
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -71,7 +72,19 @@ def p7_shares(spark, d):
     return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_share, p2_found, p3_found, p3_groups, p4_found, p4_contents, p6_containers, p6_fill, p7_drawn, p7_shares)}
+def p8_found(spark, d):
+    """Sentences of the documents in sent_docs. The semi-join needs no hint: Spark broadcasts the ids only below its size limit."""
+    wanted = table(spark, d, "sent_docs").select("doc_id")
+    return sentence_units(table(spark, d, "documents").select("doc_id", "text").join(wanted, "doc_id", "left_semi"))
+
+
+def p8_counts(spark, d):
+    """Sentences and their mean length in each document of the whole table."""
+    units = sentence_units(table(spark, d, "documents"))
+    return units.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences"), F.avg(F.col("end_char") - F.col("start_char")).alias("mean_chars"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_share, p2_found, p3_found, p3_groups, p4_found, p4_contents, p6_containers, p6_fill, p7_drawn, p7_shares, p8_found, p8_counts)}
 
 
 # ---- SQL
