@@ -29,8 +29,8 @@ RECALL, ROWS = 0.99, 7
 SKETCH, SKETCH_ERRORS = 64, 4.0
 #: Rows of one band key that are compared in one go; larger groups are cut into blocks of this size.
 BLOCK = 1024
-#: n-grams hashed against all permutations at once.
-CHUNK = 1024
+#: n-grams and factors that meet in one array operation.
+CHUNK, FACTORS = 2048, 126
 
 
 def plan_bands(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -39,21 +39,34 @@ def plan_bands(threshold: float = THRESHOLD, recall: float = RECALL, rows: int =
 
 
 def gram_hashes(text: str, n: int = GRAM) -> np.ndarray:
-    """Distinct 64-bit hashes of the code-point n-grams of the lower-cased text."""
-    return np.unique(window_hashes(code_points(text.lower()), n))
+    """Distinct 64-bit hashes of the code-point n-grams of the lower-cased text, ascending."""
+    hashes = np.sort(window_hashes(code_points(text.lower()), n))
+    first = np.ones(len(hashes), dtype=bool)
+    np.not_equal(hashes[1:], hashes[:-1], out=first[1:])
+    return hashes[first]
 
 
-def _family(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    draw = np.random.RandomState(seed)
-    return (draw.randint(0, 1 << 32, count, dtype=np.uint64) | np.uint64(1)).astype(np.uint32), draw.randint(0, 1 << 32, count, dtype=np.uint64).astype(np.uint32)
+def multipliers(count: int, seed: int) -> np.ndarray:
+    """Odd factors; multiplying by one permutes the numbers below 2^32."""
+    return (np.random.RandomState(seed).randint(0, 1 << 32, count, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 
 
-def minima(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least (h xor b)*a mod 2^32 of all n-grams for each permutation."""
-    h = (hashes >> np.uint64(32)).astype(np.uint32)
-    out = np.full(len(a), 0xFFFFFFFF, dtype=np.uint32)
-    for at in range(0, len(h), CHUNK):
-        np.minimum(out, ((h[None, at : at + CHUNK] ^ b[:, None]) * a[:, None]).min(axis=1), out=out)
+def minima(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """Least h*factor mod 2^32 of all n-grams for each factor.
+
+    h is the upper half of an n-gram's hash for one block of factors and the
+    lower half for the next, in turns. The work array fits a core's cache.
+    """
+    halves = (hashes >> np.uint64(32)).astype(np.uint32), hashes.astype(np.uint32)
+    out = np.full(len(factors), 0xFFFFFFFF, dtype=np.uint32)
+    room = np.empty((FACTORS, min(CHUNK, len(hashes))), dtype=np.uint32)
+    for k in range(0, len(factors), FACTORS):
+        some, h = slice(k, k + FACTORS), halves[k // FACTORS % 2]
+        for at in range(0, len(h), CHUNK):
+            part = h[None, at : at + CHUNK]
+            work = room[: len(out[some]), : part.shape[1]]
+            np.multiply(part, factors[some, None], out=work)
+            np.minimum(out[some], work.min(axis=1), out=out[some])
     return out
 
 
@@ -61,14 +74,14 @@ def signatures(docs: DataFrame, bands: int, rows: int = ROWS, n: int = GRAM, see
     """(doc_id, grams, bands array<bigint>, sketch) from (doc_id, text); one Arrow pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = _family(bands * rows, seed)
+        factors = multipliers(bands * rows, seed)
         place = mixed(np.arange(1, rows + 1, dtype=np.uint64)) | np.uint64(1)
         number = mixed(np.arange(1, bands + 1, dtype=np.uint64))
         for batch in batches:
             sizes, keys, sketches = [], [], []
             for text in batch.column(1).to_pylist():
                 hashes = gram_hashes(text, n)
-                low = minima(hashes, a, b)
+                low = minima(hashes, factors)
                 sizes.append(len(hashes))
                 keys.append(mixed((low.reshape(bands, rows).astype(np.uint64) * place).sum(axis=1) ^ number).view(np.int64))
                 sketches.append((low[:SKETCH] & np.uint32(255)).astype(np.uint8).tobytes())

@@ -48,7 +48,7 @@ def window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
     n = len(codes) - width + 1
     if n <= 0:
         return np.empty(0, dtype=np.uint64)
-    power = mixed((codes.astype(np.uint64) + np.uint64(1)) * _M1)
+    power = (codes.astype(np.uint64) + np.uint64(1)) * _M1
     out, done, size = None, 0, 1
     base = int(_M1)
     while size <= width:
