@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftstone.operators.skew import lookup
+
 
 def keyed_minimum(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Per key the least value and the row count; keys with one row are left out. Partial aggregation keeps hot keys cheap."""
@@ -15,11 +17,12 @@ def star_edges(bands: DataFrame, keys: tuple[str, ...] = ("band_id", "band_hash"
     """(src, dst): each member of a key linked to the key's least member, repeated links once.
 
     n-1 links a key instead of all pairs. Only keys with two rows or more are
-    joined back; AQE splits a hot key's partition. Null keys or ids link nothing.
+    looked up; rows of hot keys meet their minimum without a shuffle. Null keys
+    or ids link nothing.
     """
     clean = bands.dropna(subset=[*keys, value]).select(*keys, value)
     reps = keyed_minimum(clean, list(keys), value).drop("members")
-    return clean.join(reps, list(keys)).where(F.col(value) > F.col("rep")).select(F.col("rep").alias("src"), F.col(value).alias("dst")).distinct()
+    return lookup(clean, reps, list(keys)).where(F.col(value) > F.col("rep")).select(F.col("rep").alias("src"), F.col(value).alias("dst")).distinct()
 
 
 def distinct_pairs(df: DataFrame, first: str, second: str) -> DataFrame:

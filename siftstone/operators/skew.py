@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +16,8 @@ def heavy_keys(rows: DataFrame, keys: list[str], share: float = HEAVY_SHARE) ->
     than 1/share rows, which is what allows it to be broadcast.
     """
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("key_rows"))
-    total = rows.agg(F.count(F.lit(1)).alias("all_rows"))
-    return counts.join(F.broadcast(total)).where(F.col("key_rows") > F.lit(share) * F.col("all_rows"))
+    total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return counts.where(F.col("key_rows") > F.lit(share) * total).withColumn("all_rows", total)
 
 
 def salted_key_stats(rows: DataFrame, keys: list[str], value: str, heavy_share: float = HEAVY_SHARE, salt_rows_share: float = 0.0005, max_salts: int = 4096) -> DataFrame:
@@ -53,21 +51,18 @@ def salted_key_stats(rows: DataFrame, keys: list[str], value: str, heavy_share:
     return partial.groupBy(*keys).agg(F.sum("__n").alias("n_rows"), F.min("__m").alias("min_value"), F.sum("__d").alias("n_distinct"))
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, heavy_share: float = HEAVY_SHARE, how: str = "inner") -> DataFrame:
-    """``rows`` joined to ``table`` (unique in ``key``) though a key may hold any share of the rows.
+def lookup(rows: DataFrame, table: DataFrame, keys: str | list[str], heavy_share: float = HEAVY_SHARE, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``table`` (unique in ``keys``) though a key may hold any share of the rows.
 
     Rows of heavy keys meet a broadcast of just those keys' table rows (fewer
     than 1/heavy_share); all others take an ordinary shuffled join. No row is
-    dropped, and no hot key is ever shuffled.
+    dropped, and no hot key is ever shuffled. A null key finds nothing.
     """
-    hot = heavy_keys(rows.select(key).where(F.col(key).isNotNull()), [key], heavy_share).select(key)
-    hot_table = table.join(F.broadcast(hot), key, "left_semi")
-    marked = rows.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), key, "left")
+    keys = [keys] if isinstance(keys, str) else keys
+    hot = heavy_keys(rows.select(*keys).dropna(), keys, heavy_share).select(*keys)
+    hot_table = table.join(F.broadcast(hot), keys, "left_semi")
+    marked = rows.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), keys, "left")
     return (
-        marked.where(F.col("__hot")).drop("__hot").join(F.broadcast(hot_table), key, how)
-        .unionByName(marked.where(F.col("__hot").isNull()).drop("__hot").join(table, key, how))
+        marked.where(F.col("__hot")).drop("__hot").join(F.broadcast(hot_table), keys, how)
+        .unionByName(marked.where(F.col("__hot").isNull()).drop("__hot").join(table, keys, how))
     )
-
-
-def salt_count(rows: int, per_salt: int) -> int:
-    return max(1, math.ceil(rows / per_salt))

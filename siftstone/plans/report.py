@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def metrics(docs: DataFrame, removed: DataFrame) -> DataFrame:
     """One row: n_input, n_removed, n_kept, removed_percent (0 for an empty input)."""
-    counts = docs.agg(F.count(F.lit(1)).alias("n_input")).crossJoin(removed.agg(F.count(F.lit(1)).alias("n_removed")))  # one row each
+    counts = docs.agg(F.count(F.lit(1)).alias("n_input")).withColumn("n_removed", removed.agg(F.count(F.lit(1)).alias("n")).scalar())
     share = F.when(F.col("n_input") > 0, F.round(100.0 * F.col("n_removed") / F.col("n_input"), 4)).otherwise(F.lit(0.0))
     return counts.select("n_input", "n_removed", (F.col("n_input") - F.col("n_removed")).alias("n_kept"), share.alias("removed_percent"))
 

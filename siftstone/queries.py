@@ -244,8 +244,8 @@ def p5_found(spark, d):
     """Keys with at least 0.5 % of the rows, from the same salted aggregation."""
     b = table(spark, d, "bands").where("band_hash is not null")
     stats = salted_key_stats(b, ["band_id", "band_hash"], "doc_id")
-    total = b.agg(F.count(F.lit(1)).alias("all_rows"))
-    return stats.join(F.broadcast(total)).where(F.col("n_rows") * 200 >= F.col("all_rows")).select("band_id", "band_hash")
+    total = b.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return stats.where(F.col("n_rows") * 200 >= total).select("band_id", "band_hash")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
