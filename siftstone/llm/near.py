@@ -24,13 +24,13 @@ from siftstone.operators.skew import lookup
 
 LEAST_CHARS, GRAM, THRESHOLD = 40, 5, 0.7
 #: Wanted chance to find a pair just at the threshold; rows a band. More rows mean fewer chance candidates and more bands.
-RECALL, ROWS = 0.99, 7
+RECALL, ROWS = 0.995, 7
 #: Minima kept as single bytes in the sketch, and how far below the threshold (in standard errors) its estimate may lie.
 SKETCH, SKETCH_ERRORS = 64, 4.0
 #: Rows of one band key that are compared in one go; larger groups are cut into blocks of this size.
 BLOCK = 1024
 #: n-grams and factors that meet in one array operation.
-CHUNK, FACTORS = 2048, 126
+CHUNK, FACTORS = 2048, 63
 
 
 def plan_bands(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -54,14 +54,19 @@ def multipliers(count: int, seed: int) -> np.ndarray:
 def minima(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
     """Least h*factor mod 2^32 of all n-grams for each factor.
 
-    h is the upper half of an n-gram's hash for one block of factors and the
-    lower half for the next, in turns. The work array fits a core's cache.
+    Minima of one h under many factors depend on each other a little, so each
+    block of factors gets an h of its own: upper and lower half of the hash, then
+    of the hash mixed once more, and so on. The work array fits a core's cache.
     """
-    halves = (hashes >> np.uint64(32)).astype(np.uint32), hashes.astype(np.uint32)
     out = np.full(len(factors), 0xFFFFFFFF, dtype=np.uint32)
     room = np.empty((FACTORS, min(CHUNK, len(hashes))), dtype=np.uint32)
-    for k in range(0, len(factors), FACTORS):
-        some, h = slice(k, k + FACTORS), halves[k // FACTORS % 2]
+    for block, k in enumerate(range(0, len(factors), FACTORS)):
+        if block % 2 == 0:
+            hashes = mixed(hashes) if block else hashes
+            h = (hashes >> np.uint64(32)).astype(np.uint32)
+        else:
+            h = hashes.astype(np.uint32)
+        some = slice(k, k + FACTORS)
         for at in range(0, len(h), CHUNK):
             part = h[None, at : at + CHUNK]
             work = room[: len(out[some]), : part.shape[1]]
