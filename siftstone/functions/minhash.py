@@ -13,42 +13,57 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siftstone.functions.lsh import MASK_32, MERSENNE_61, permutations
+from siftstone.functions.windows import code_points, window_names
 from siftstone.params import DedupParams
 
-#: Tokens hashed against all permutations at once: bounds the work array at chunk * num_perm * 8 bytes.
-CHUNK = 2048
+#: Values hashed against all permutations at once, so that the work arrays fit a core's cache.
+CHUNK = 256
+#: Windows of neighbouring texts whose distinct n-grams are hashed together; a longer text is a group of its own.
+GROUP = 200_000
 #: Token hashes remembered by a Python worker.
 MEMO = 500_000
 _PUNCT = re.compile("[" + re.escape(string.punctuation) + "]")
+_SPACE = re.compile(r"\s+")
 
 
-def token_set(text: str, params: DedupParams) -> set[str]:
-    """Distinct tokens of a normalised text; empty when it is too short."""
+def shingle_set(text: str, params: DedupParams) -> set[str]:
+    """Distinct runs of fragments between punctuation marks or white space; empty when there are too few."""
     n = params.ngram
-    if params.tokenizer == "character":
-        return {text[i : i + n] for i in range(len(text) - n + 1)}
-    parts = (_PUNCT if params.tokenizer == "punctuation" else re.compile(r"\s+")).split(text)
+    parts = (_PUNCT if params.tokenizer == "punctuation" else _SPACE).split(text)
     return {" ".join(parts[i : i + n]) for i in range(len(parts) - n + 1)}
 
 
-def permuted_minimum(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least (h*a+b mod 2^64) mod (2^61-1) mod 2^32 for each permutation."""
-    out = np.full(len(a), MASK_32, dtype=np.uint64)
-    p, low = np.uint64(MERSENNE_61), np.uint64(MASK_32)
+def permuted(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(h*a+b mod 2^64) mod (2^61-1) mod 2^32: one row per hash, one column per permutation."""
+    out = np.empty((len(hashes), len(a)), dtype=np.uint32)
+    p, bits = np.uint64(MERSENNE_61), np.uint64(61)
+    y = np.empty((min(CHUNK, len(hashes)), len(a)), dtype=np.uint64)
+    high, over = np.empty_like(y), np.empty(y.shape, dtype=bool)
     for at in range(0, len(hashes), CHUNK):
-        y = hashes[at : at + CHUNK, None] * a + b
-        y = (y >> np.uint64(61)) + (y & p)
-        y -= (y >= p) * p
-        out = np.minimum(out, (y & low).min(axis=0))
+        h = hashes[at : at + CHUNK, None]
+        k = len(h)
+        np.multiply(h, a, out=y[:k])
+        y[:k] += b
+        np.right_shift(y[:k], bits, out=high[:k])
+        y[:k] &= p
+        y[:k] += high[:k]
+        np.greater_equal(y[:k], p, out=over[:k])
+        np.subtract(y[:k], p, out=y[:k], where=over[:k])
+        out[at : at + k] = y[:k]
     return out
 
 
 def signer(params: DedupParams) -> Callable[[pd.Series], pd.Series]:
-    """Batch function: texts to signatures of ``num_perm`` unsigned 32-bit values held in bigints."""
+    """Batch function: texts to signatures of ``num_perm`` unsigned 32-bit values held in bigints.
+
+    An n-gram that occurs in several texts of a group is hashed and permuted
+    once; each text then takes the least value per permutation over its rows.
+    """
     a, b = permutations(params.seed, params.num_perm)
     memo: dict[str, int] = {}
+    empty = None if params.short_docs == "keep" else np.full(params.num_perm, MASK_32, dtype=np.int64)
 
-    def hashed(tokens: set[str]) -> np.ndarray:
+    def hashed(tokens) -> np.ndarray:
         if len(memo) > MEMO:
             memo.clear()
         out = np.empty(len(tokens), dtype=np.uint64)
@@ -59,18 +74,55 @@ def signer(params: DedupParams) -> Callable[[pd.Series], pd.Series]:
             out[k] = h
         return out
 
-    def sign(texts: pd.Series) -> pd.Series:
-        out = []
-        for text in texts:
+    def least(values: np.ndarray) -> np.ndarray:
+        return np.minimum.reduce(values, axis=0).astype(np.int64)
+
+    def sign_group(texts: list[str], names: list[np.ndarray]) -> list[np.ndarray]:
+        starts = np.cumsum([0] + [len(x) for x in names])
+        _, first, row = np.unique(np.concatenate(names), return_index=True, return_inverse=True)
+        owner = np.searchsorted(starts, first, side="right") - 1
+        at, n = (first - starts[owner]).tolist(), params.ngram
+        values = permuted(hashed([texts[o][i : i + n] for o, i in zip(owner.tolist(), at)]), a, b)
+        return [least(values[row[s:e]]) if e - s <= GROUP else least(values) for s, e in zip(starts[:-1], starts[1:])]
+
+    def sign_characters(texts: pd.Series) -> list:
+        out: list = [None] * len(texts)
+        where: list[int] = []
+        group: list[str] = []
+        names: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> None:
+            nonlocal size
+            if group:
+                for k, sig in zip(where, sign_group(group, names)):
+                    out[k] = sig
+            where.clear(), group.clear(), names.clear()
+            size = 0
+
+        for k, text in enumerate(texts):
             if text is None or text is pd.NA:
-                out.append(None)
                 continue
-            tokens = token_set(text, params)
-            if not tokens and params.short_docs == "keep":
-                out.append(None)
-            else:
-                out.append(permuted_minimum(hashed(tokens), a, b).astype(np.int64))
-        return pd.Series(out, dtype=object)
+            windows = window_names(code_points(text), params.ngram)
+            if not len(windows):
+                out[k] = empty
+                continue
+            if size + len(windows) > GROUP:
+                flush()
+            where.append(k), group.append(text), names.append(windows)
+            size += len(windows)
+        flush()
+        return out
+
+    def sign_shingles(texts: pd.Series) -> list:
+        out: list = []
+        for text in texts:
+            tokens = None if text is None or text is pd.NA else shingle_set(text, params)
+            out.append(None if tokens is None else least(permuted(hashed(tokens), a, b)) if tokens else empty)
+        return out
+
+    def sign(texts: pd.Series) -> pd.Series:
+        return pd.Series(sign_characters(texts) if params.tokenizer == "character" else sign_shingles(texts), dtype=object)
 
     return sign
 
@@ -83,4 +135,5 @@ def signature(normalized_text: Column, params: DedupParams) -> Column:
     def minhash(texts: pd.Series) -> pd.Series:
         return sign(texts)
 
-    return minhash(normalized_text)
+    # so marked, a filter on its result is not pushed below it, which would run it twice
+    return minhash.asNondeterministic()(normalized_text)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from siftstone.functions.minhash import signature
 from siftstone.functions.text import normalized
 from siftstone.operators.components import connected_components
 from siftstone.operators.edges import star_edges
+from siftstone.operators.layout import spread
 from siftstone.operators.ranking import sequential_ids
 from siftstone.operators.scratch import written
 from siftstone.params import PLAIN, STRIPPED, DedupParams
@@ -35,7 +37,7 @@ def with_signatures(docs: DataFrame, text_col: str, params: DedupParams) -> Data
 def document_bands(docs: DataFrame, id_col: str, text_col: str, params: DedupParams, raw: bool = False) -> DataFrame:
     """(doc_id, band_id, band_hash); the scan reads the two columns only."""
     ident = F.col(id_col).cast("string") if params.id_order == "string" else F.col(id_col)
-    signed = with_signatures(docs.select(ident.alias("doc_id"), F.col(text_col).alias("text")), "text", params)
+    signed = with_signatures(spread(docs.select(ident.alias("doc_id"), F.col(text_col).alias("text"))), "text", params)
     return explode_bands(signed.select("doc_id", "minhash"), "doc_id", "minhash", params.bands, params.rows, raw)
 
 
@@ -63,7 +65,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gives an empty result. Columns may have any name: work columns are made from
     projections of id and text.
     """
-    bands = stored_or_computed(docs.sparkSession, bands_path, lambda: document_bands(docs, id_col, text_col, params))
+    made = partial(document_bands, docs, id_col, text_col, params)
+    bands = stored_or_computed(docs.sparkSession, bands_path, made) if bands_path else written(made(), "bands")
     links = written(duplicate_links(bands), "links")
     clusters = written(connected_components(links, max_iterations=params.max_iterations), "clusters")
     gone = removed_ids(clusters)
@@ -77,6 +80,6 @@ def deduplicate_stripped(docs: DataFrame, id_col: str = "doc_id", text_col: str
     dropped at the end.
     """
     numbered = sequential_ids(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), "__id", "__uid")
-    links = duplicate_links(document_bands(numbered, "__uid", "__text", params, raw=True))
+    links = duplicate_links(written(document_bands(numbered, "__uid", "__text", params, raw=True), "bands"))
     gone = removed_ids(connected_components(links, max_iterations=params.max_iterations))
     return drop_ids(numbered, "__uid", gone).select(F.col("__id").alias(id_col), F.col("__text").alias(text_col))

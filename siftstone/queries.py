@@ -13,6 +13,7 @@ from siftstone.functions.lsh import MASK_32, MERSENNE_61, optimal_bands, permuta
 from siftstone.functions.text import char_ngrams, fragment_shingles, normalized, token_hash32
 from siftstone.operators.components import connected_components, large_star, small_star
 from siftstone.operators.edges import distinct_pairs, star_edges
+from siftstone.operators.layout import spread
 from siftstone.operators.ranking import sequential_ids
 from siftstone.operators.scratch import shared_folder
 from siftstone.operators.skew import salted_key_stats
@@ -92,7 +93,7 @@ def text_normalized(spark, d):
 
 
 def char_ngram_counts(spark, d):
-    grams = table(spark, d, "documents").select("doc_id", F.explode(char_ngrams(F.lower("text"), 5)).alias("gram"))
+    grams = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.explode(char_ngrams(F.lower("text"), 5)).alias("gram"))
     once = grams.groupBy("gram", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     return once.groupBy("gram").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_total"))
 
@@ -106,12 +107,12 @@ def space_shingles(spark, d):
 
 
 def token_hashes(spark, d):
-    grams = table(spark, d, "documents").select(F.explode(char_ngrams(F.lower("text"), 5)).alias("gram")).distinct()
+    grams = spread(table(spark, d, "documents").select("text")).select(F.explode(char_ngrams(F.lower("text"), 5)).alias("gram")).distinct()
     return grams.select("gram", token_hash32(F.col("gram")).alias("hash"))
 
 
 def minhash_signature(spark, d):
-    signed = with_signatures(table(spark, d, "documents").select("doc_id", "text"), "text", SHORT)
+    signed = with_signatures(spread(table(spark, d, "documents").select("doc_id", "text")), "text", SHORT)
     return signed.where("minhash is not null").select("doc_id", F.posexplode("minhash").alias("perm_id", "value"))
 
 
@@ -130,7 +131,7 @@ def lsh_bands_rawkey(spark, d):
 
 
 def bands_from_signatures(spark, d):
-    signed = with_signatures(table(spark, d, "documents").select("doc_id", "text"), "text", SHORT).select("doc_id", "minhash")
+    signed = with_signatures(spread(table(spark, d, "documents").select("doc_id", "text")), "text", SHORT).select("doc_id", "minhash")
     return explode_bands(signed, "doc_id", "minhash", SHORT.bands, SHORT.rows)
 
 

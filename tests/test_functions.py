@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siftstone.functions.bands import explode_bands
 from siftstone.functions.lsh import MERSENNE_61, optimal_bands, permutations
-from siftstone.functions.minhash import permuted_minimum, signer
+from siftstone.functions.minhash import permuted, signer
 from siftstone.functions.text import char_ngrams, fragment_shingles, normalized, preview, token_hash32
 from siftstone.params import PLAIN, STRIPPED, DedupParams
 
@@ -30,7 +30,7 @@ def test_first_permutation():
 @given(st.lists(st.integers(0, 2**32 - 1), min_size=1, max_size=5), st.lists(st.tuples(st.integers(1, MERSENNE_61 - 1), st.integers(0, MERSENNE_61 - 1)), min_size=1, max_size=4))
 def test_wrapping_arithmetic(hashes, pairs):
     a, b = (np.array(c, dtype=np.uint64) for c in zip(*pairs))
-    got = permuted_minimum(np.array(hashes, dtype=np.uint64), a, b).tolist()
+    got = permuted(np.array(hashes, dtype=np.uint64), a, b).min(axis=0).tolist()
     assert got == [min((h * x + y) % 2**64 % MERSENNE_61 % 2**32 for h in hashes) for x, y in pairs]
 
 
@@ -52,6 +52,22 @@ def test_long_text_in_chunks():
     assert signer(PLAIN.with_(num_perm=16))(pd.Series([text]))[0].tolist() == want
 
 
+def test_groups_do_not_change_signatures(monkeypatch):
+    from siftstone.functions import minhash
+
+    texts = pd.Series(["some text number %d 😀 %s" % (k, "x" * (k % 9)) for k in range(60)] + ["", None, "日本語文字列"])
+    whole = signer(PLAIN.with_(num_perm=16))(texts)
+    monkeypatch.setattr(minhash, "GROUP", 40)
+    for x, y in zip(whole, signer(PLAIN.with_(num_perm=16))(texts)):
+        assert (x is None and y is None) or x.tolist() == y.tolist()
+
+
+def test_fragment_shingles_as_tokens():
+    sign = signer(PLAIN.with_(num_perm=16, tokenizer="space", ngram=2))
+    one, two, none = sign(pd.Series(["a b c a b", "b c a b a", "a"]))
+    assert one.tolist() != two.tolist() and set(none.tolist()) == {2**32 - 1}
+
+
 def test_parameters_are_checked():
     for bad in ({"threshold": 1.5}, {"num_perm": 0}, {"ngram": 0}, {"tokenizer": "x"}, {"short_docs": "x"}, {"bands": 20, "rows": 20}):
         with pytest.raises(ValueError):
