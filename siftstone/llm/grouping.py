@@ -48,21 +48,35 @@ def union_find(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names[child], names[parent[child]]
 
 
-def _forests(chunk: int):
-    """Each partition's links, read in batches, become its spanning forest. Memory holds the forest and one chunk of links."""
+def _forests(most: int):
+    """Each partition's links, read in batches, become spanning forests of at most about ``most`` links.
+
+    What is held is reduced whenever it passes the bound; a forest that is still
+    larger is given out and a new one begun. So memory is bounded whatever the
+    partition's size, and records that end up in two forests are treated like
+    those of two partitions.
+    """
+
+    def reduced(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        return union_find(*(np.concatenate(c) for c in zip(*held)))
+
+    def out(forest: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(forest[0], pa.int64()), pa.array(forest[1], pa.int64())], ["node", "root"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = kept = 0
+        size = 0
         for batch in batches:
             held.append((batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)))
             size += batch.num_rows
-            if size > max(chunk, 2 * kept):
-                held = [union_find(*(np.concatenate(c) for c in zip(*held)))]
-                size = kept = len(held[0][0])
+            if size > most:
+                held = [reduced(held)]
+                size = len(held[0][0])
+                if size > most // 2:
+                    yield out(held[0])
+                    held, size = [], 0
         if held:
-            node, root = union_find(*(np.concatenate(c) for c in zip(*held)))
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(root, pa.int64())], ["node", "root"])
+            yield out(reduced(held))
 
     return run
 
@@ -92,7 +106,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", partition_links: in
     forest = written(ends.where("node <> root").mapInArrow(_forests(partition_links), "node bigint, root bigint"), "forest")
     parts = forest.rdd.getNumPartitions()
     pointers: list[DataFrame] = []
-    while True:
+    while True:  # each level has fewer partitions than the one before
         leaves, rest = _split_leaves(forest)
         pointers.append(written(leaves, "leaves"))
         now = written(rest, "shared")

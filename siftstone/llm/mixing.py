@@ -164,7 +164,7 @@ def mix(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: s
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), clean_source(F.col(source_col)).alias("source"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL AND text <> ''")
     rows = rows.where(F.col("source").isNull() | F.col("source").isin(names))
-    labelled = rows.where("source IS NOT NULL").count()
+    labelled = docs.where(clean_source(F.col(source_col)).isin(names)).count()  # reads the source column only
     measured = written(_measured(rows, sample_texts / max(labelled, 1), seed, path), "measured")
 
     sample = measured.where("in_sample").select("doc_id", "source", "bins", "counts").toPandas().sort_values("doc_id")
