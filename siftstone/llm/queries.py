@@ -101,6 +101,28 @@ def oracle() -> dict[str, str]:
       m AS (SELECT doc_id, max(again) OVER (PARTITION BY doc_id ORDER BY i ROWS 29 PRECEDING) AS again FROM s),
       n AS (SELECT doc_id, count(*) AS n_units, sum(again)::BIGINT AS n_repeated FROM m GROUP BY doc_id)"""
     share = share.replace(f"hash({window})", window).replace(",\n              (SELECT 1) FROM r", " FROM r")
+    grams = "c || lead(c, 1) OVER w || lead(c, 2) OVER w || lead(c, 3) OVER w || lead(c, 4) OVER w"
+    similar = f"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '(?s).') AS cs FROM documents WHERE length(text) >= 40),
+      u AS (SELECT doc_id, unnest(cs) AS c, generate_subscripts(cs, 1) AS i FROM t),
+      g AS MATERIALIZED (SELECT DISTINCT doc_id, hash(g) AS g FROM (SELECT doc_id, {grams} AS g FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE g IS NOT NULL),
+      n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+      both_in AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM g x JOIN g y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2)
+      SELECT a AS doc_a, b AS doc_b FROM both_in JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE k >= 0.7 * (p.n + q.n - k)"""
+    alnum = "regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]', '', 'g')".format
+    contents = f"""WITH d AS MATERIALIZED (SELECT doc_id, text, {alnum("text")} AS letters FROM documents WHERE length(text) >= 40),
+      pieces AS (
+        SELECT doc_id, 0 AS kind, unnest(regexp_extract_all(text, '"[^"]+": "(?:[^"\\\\]|\\\\.)*"')) AS piece FROM d WHERE regexp_matches(text, '^[^\\p{{L}}\\p{{N}}]*[{{](?s:.*)[}}][^\\p{{L}}\\p{{N}}]*$')
+        UNION ALL SELECT doc_id, 1, unnest(regexp_split_to_array(text, '[\\r\\n]+')) FROM d
+        UNION ALL SELECT doc_id, 2, unnest(string_split(text, '|')) FROM d
+        UNION ALL SELECT doc_id, 3, unnest(string_split(text, ';')) FROM d),
+      named AS (SELECT doc_id, kind, piece, regexp_extract(piece, '^([\\s>*•–—#"''_{{-]*)([\\p{{L}}][^:：\\n|;"]{{0,31}}?)([\\s*"''_]*[:：])', ['lead', 'name', 'colon']) AS m
+        FROM pieces WHERE {alnum("piece")} <> ''),
+      split AS (SELECT doc_id, kind, m.name AS name, substr(piece, length(m.lead || m.name || m.colon) + 1) AS value FROM named),
+      card AS (SELECT doc_id, kind, list_sort(list({alnum("name")} || chr(1) || {alnum("value")})) AS fields FROM split
+        GROUP BY 1, 2 HAVING count(*) > 1 AND bool_and(name <> '' AND len(regexp_split_to_array(trim(name), '\\s+')) <= 3)),
+      keyed AS (SELECT d.doc_id, letters, arg_min(fields, kind) AS fields FROM d LEFT JOIN card USING (doc_id) GROUP BY 1, 2),
+      content AS (SELECT doc_id, coalesce(array_to_string(min(fields) OVER (PARTITION BY letters), chr(2)), letters) AS content FROM keyed),
+      first AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY content) AS first_doc FROM content)"""
     links = """SELECT src AS a, dst AS b FROM edges WHERE src IS NOT NULL AND dst IS NOT NULL
       UNION SELECT try_cast(trim(node) AS BIGINT), try_cast(trim(parent) AS BIGINT) FROM components
       WHERE try_cast(trim(node) AS BIGINT) IS NOT NULL AND try_cast(trim(parent) AS BIGINT) IS NOT NULL"""
@@ -108,6 +130,9 @@ def oracle() -> dict[str, str]:
         "p1_found": f"{share} SELECT doc_id FROM n WHERE n_repeated >= 0.30 * n_units AND n_units > 0",
         "p1_share": f"""{share} SELECT d.doc_id, CASE WHEN text IS NOT NULL THEN coalesce(n_units, 0) END AS n_units, CASE WHEN text IS NOT NULL THEN coalesce(n_repeated, 0) END AS n_repeated,
           CASE WHEN text IS NOT NULL THEN coalesce(n_repeated / n_units, 0.0) END::DOUBLE AS repeated_share FROM documents d LEFT JOIN n USING (doc_id)""",
+        "p3_found": similar,
+        "p4_found": f"{contents} SELECT first_doc, doc_id FROM first WHERE first_doc < doc_id",
+        "p4_contents": f"{contents} SELECT first_doc, count(*) AS copies FROM first GROUP BY 1",
         "p2_found": f"""WITH RECURSIVE link AS MATERIALIZED ({links}),
           e AS MATERIALIZED (SELECT a, b FROM link UNION SELECT b, a FROM link),
           cc(node, component) USING KEY (node) AS (
