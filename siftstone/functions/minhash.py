@@ -19,7 +19,7 @@ from siftstone.params import DedupParams
 #: Values hashed against all permutations at once, so that the work arrays fit a core's cache.
 CHUNK = 256
 #: Windows of neighbouring texts whose distinct n-grams are hashed together; a longer text is a group of its own.
-GROUP = 200_000
+GROUP = 100_000
 #: Token hashes remembered by a Python worker.
 MEMO = 500_000
 _PUNCT = re.compile("[" + re.escape(string.punctuation) + "]")
@@ -82,8 +82,11 @@ def signer(params: DedupParams) -> Callable[[pd.Series], pd.Series]:
         _, first, row = np.unique(np.concatenate(names), return_index=True, return_inverse=True)
         owner = np.searchsorted(starts, first, side="right") - 1
         at, n = (first - starts[owner]).tolist(), params.ngram
-        values = permuted(hashed([texts[o][i : i + n] for o, i in zip(owner.tolist(), at)]), a, b)
-        return [least(values[row[s:e]]) if e - s <= GROUP else least(values) for s, e in zip(starts[:-1], starts[1:])]
+        hashes = hashed([texts[o][i : i + n] for o, i in zip(owner.tolist(), at)])
+        if len(texts) == 1:  # perhaps a very long text: no table of all its values
+            return [least(np.stack([permuted(hashes[k : k + GROUP // 8], a, b).min(axis=0) for k in range(0, len(hashes), GROUP // 8)]))]
+        values = permuted(hashes, a, b)
+        return [least(values[row[s:e]]) for s, e in zip(starts[:-1], starts[1:])]
 
     def sign_characters(texts: pd.Series) -> list:
         out: list = [None] * len(texts)

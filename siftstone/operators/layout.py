@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """The same rows over at least as many partitions as there are cores.
+    """The same rows over as many partitions as there are cores, where that at least doubles the tasks at work.
 
-    Only a plain scan with fewer splits than cores is redistributed: a few small
-    files whose texts would keep most cores idle. A scan with enough splits, or
-    a plan that shuffles anyway, is returned as it is.
+    Only a plain scan with splits for at most half of the cores is redistributed:
+    a few small files whose texts would keep most cores idle. A scan with more
+    splits, or a plan that shuffles anyway, is returned as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if re.search("(?<!Broadcast)Exchange", df._jdf.queryExecution().executedPlan().toString()):
         return df
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if df.rdd.getNumPartitions() * 2 > cores else df.repartition(cores)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -20,7 +21,7 @@ from siftstone.operators.skew import salted_key_stats
 from siftstone.params import PLAIN, STRIPPED, DedupParams
 from siftstone.plans import report
 from siftstone.plans.dedup import deduplicate, deduplicate_stripped, document_bands, drop_ids, removed_ids, with_signatures
-from siftstone.sources.tables import limited, preview_rows, read_documents, schema_rows, stored_or_computed
+from siftstone.sources.tables import limited, preview_rows, read_documents, schema_rows, stored_or_computed, write_pairs_csv
 
 #: Fewer permutations than in production for the stages that SQL repeats value by value.
 SHORT = PLAIN.with_(num_perm=32)
@@ -73,8 +74,6 @@ def multi_path_read(spark, d):
 
 
 def jsonl_roundtrip(spark, d):
-    import uuid
-
     path = f"{shared_folder(spark)}/jsonl-{uuid.uuid4().hex}"
     table(spark, d, "documents").select("doc_id", "text").write.json(path)
     return read_documents(spark, path, "jsonl", "doc_id").select("doc_id", F.md5("text").alias("text_md5"))
@@ -136,8 +135,6 @@ def bands_from_signatures(spark, d):
 
 
 def band_checkpoint_roundtrip(spark, d):
-    import uuid
-
     path = f"{shared_folder(spark)}/bands-{uuid.uuid4().hex}"
     make = partial(document_bands, table(spark, d, "documents"), "doc_id", "text", SHORT)
     stored_or_computed(spark, path, make)
@@ -161,6 +158,12 @@ def band_star_edges(spark, d):
     return star_edges(table(spark, d, "bands"))
 
 
+def pairs_csv_roundtrip(spark, d):
+    path = f"{shared_folder(spark)}/pairs-{uuid.uuid4().hex}"
+    write_pairs_csv(star_edges(table(spark, d, "bands")), path)
+    return spark.read.csv(path, header=True, schema="src bigint, dst bigint")
+
+
 def distinct_edges(spark, d):
     return distinct_pairs(links_of(spark, d), "src", "dst")
 
@@ -255,7 +258,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         scan_project, row_count, limit_by_id, preview, schema_inspect, glob_read, multi_path_read, jsonl_roundtrip, sequential_uid,
         text_normalized, char_ngram_counts, punct_shingles, space_shingles, token_hashes, minhash_signature, empty_signature,
         lsh_bands, lsh_bands_rawkey, bands_from_signatures, band_checkpoint_roundtrip, lsh_optimal_params,
-        band_collisions, band_star_edges, distinct_edges, large_star_step, small_star_step,
+        band_collisions, band_star_edges, pairs_csv_roundtrip, distinct_edges, large_star_step, small_star_step,
         components_of_edges, components_of_orders, components_of_strings, band_clusters,
         dedup_keep, duplicate_ids, dedup_keep_stripped, dedup_keep_string_order, dedup_metrics, keep_by_stored_bands, cluster_sizes, cluster_samples,
         p5_key_stats, p5_found,
@@ -366,6 +369,7 @@ def oracle() -> dict[str, str]:
         "band_collisions": """SELECT band_id, band_hash, min(doc_id) AS rep, count(*) AS members FROM bands
           WHERE doc_id IS NOT NULL AND band_id IS NOT NULL AND band_hash IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1""",
         "band_star_edges": f"SELECT a AS src, b AS dst FROM ({STARS})",
+        "pairs_csv_roundtrip": f"SELECT a AS src, b AS dst FROM ({STARS})",
         "distinct_edges": "SELECT DISTINCT src, dst FROM edges",
         "large_star_step": f"""WITH e AS (SELECT src, dst FROM edges WHERE src IS NOT NULL AND dst IS NOT NULL), {BOTH},
           m AS (SELECT u, least(u, min(v)) AS m FROM both_ways GROUP BY u)
