@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftstone.llm.tokens import VOCABULARY, encoding, token_features, vocabulary
+from siftstone.operators.layout import spread
 from siftstone.operators.ranking import grouped_position
 from siftstone.operators.scratch import written
 
@@ -94,7 +95,7 @@ def _measured(docs: DataFrame, fraction: float, seed: int, path: str) -> DataFra
     chance = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) / F.lit(float(1 << 53))
     rows = docs.withColumn("in_sample", F.coalesce(F.col("source").isNotNull() & (chance < fraction), F.lit(False)))
     wanted = F.col("in_sample") | F.col("source").isNull()
-    return rows.select("doc_id", "source", "text", "in_sample", wanted.alias("wanted")).mapInArrow(run, "doc_id bigint, source string, n_tokens bigint, in_sample boolean, bins array<int>, counts array<int>")
+    return spread(rows.select("doc_id", "source", "text", "in_sample", wanted.alias("wanted"))).mapInArrow(run, "doc_id bigint, source string, n_tokens bigint, in_sample boolean, bins array<int>, counts array<int>")
 
 
 def fit_rates(units: DataFrame, target: np.ndarray, tolerance: float = 1e-7, max_steps: int = MAX_STEPS) -> tuple[list[list[float]], np.ndarray]:
@@ -214,9 +215,9 @@ def mix(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: s
     drawn = written(chosen.unionByName(loose).where("uses > 0"), "drawn")
     sums = drawn.groupBy("source").agg(F.count(F.lit(1)).alias("texts"), F.sum("uses").alias("uses"), F.sum(F.col("uses") * F.col("n_tokens")).alias("tokens"))
     goals = spark.createDataFrame([(n, float(s), float(e / max(expected.sum(), 1.0))) for n, s, e in zip(names, share, expected)] + [(None, 0.0, 0.0)], "source string, target_share double, expected_share double")
-    whole = sums.agg(F.sum("tokens").alias("all_tokens"))
+    whole = sums.agg(F.sum("tokens").alias("n")).scalar()
     shares = (
-        goals.alias("g").join(sums.alias("s"), F.col("g.source").eqNullSafe(F.col("s.source")), "left").join(F.broadcast(whole))
-        .select("g.source", "target_share", (F.coalesce("tokens", F.lit(0)) / F.col("all_tokens")).alias("reached_share"), "expected_share", F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("uses", F.lit(0)).alias("uses"), F.coalesce("tokens", F.lit(0)).alias("tokens"))
+        goals.alias("g").join(sums.alias("s"), F.col("g.source").eqNullSafe(F.col("s.source")), "left")
+        .select("g.source", "target_share", (F.coalesce("tokens", F.lit(0)) / whole).alias("reached_share"), "expected_share", F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("uses", F.lit(0)).alias("uses"), F.coalesce("tokens", F.lit(0)).alias("tokens"))
     )
     return drawn, shares

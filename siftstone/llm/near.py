@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from siftstone.llm.grouping import components
 from siftstone.llm.units import code_points, mixed, window_hashes
+from siftstone.operators.layout import spread
 from siftstone.operators.scratch import release, written
 from siftstone.operators.skew import lookup
 
@@ -247,7 +248,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first = ids.groupBy("raw").agg(F.min("doc_id").alias("rep"))
     members = written(lookup(ids, first, "raw").select("rep", "doc_id"), "members")
     copies = members.where("rep <> doc_id").select("doc_id")
-    signed = written(signatures(texts, plan_bands(threshold, recall, rows), rows, n), "signatures")
+    signed = written(signatures(spread(texts), plan_bands(threshold, recall, rows), rows, n), "signatures")
     distinct = signed.join(copies, "doc_id", "left_anti")
     likely = written(_sketched(candidates(distinct, threshold, block), signed.select("doc_id", "sketch"), threshold), "likely")
     pairs = written(_similar(likely, texts, threshold, n), "pairs")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftstone.llm.units import letters_and_digits, window_hashes
+from siftstone.operators.layout import spread
 
 WINDOW = 30
 
@@ -48,7 +49,8 @@ def repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         found = [(None, None) if t is None else repeated_units(t, window) for t in texts]
         return pd.DataFrame(found, columns=["n_units", "n_repeated"]).astype("Int64")
 
-    got = docs.select(F.col(id_col).alias("doc_id"), measure(F.col(text_col)).alias("m")).select("doc_id", "m.n_units", "m.n_repeated")
+    texts = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    got = texts.select("doc_id", measure("text").alias("m")).select("doc_id", "m.n_units", "m.n_repeated")
     share = F.when(F.col("n_units") > 0, F.col("n_repeated") / F.col("n_units")).when(F.col("n_units") == 0, F.lit(0.0))
     return got.withColumn("repeated_share", share)
 

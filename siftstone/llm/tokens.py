@@ -12,6 +12,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftstone.operators.layout import spread
+
 #: A ranks file in tiktoken's format. The driver reads it; its bytes (under 1 MB) travel with the tasks, so executors need no such file.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: the pre-token pattern that belongs to the vocabulary.
@@ -39,7 +41,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             counts = [None if t is None else len(bpe.encode_ordinary(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["doc_id", "n_tokens"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, n_tokens bigint")
+    return spread(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, "doc_id bigint, n_tokens bigint")
 
 
 def token_features(bpe: tiktoken.Encoding, text: str, width: int) -> tuple[int, np.ndarray, np.ndarray]:
