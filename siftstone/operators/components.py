@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftstone.functions.unionfind import union_find
 from siftstone.operators.scratch import release, written
 
+#: Edges that one task may finish by itself; more are contracted in distributed rounds until no more are left.
+TASK_EDGES = 1_000_000
+
 
 class NotConverged(RuntimeError):
     pass
@@ -36,14 +44,27 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return row["n"], row["s"]
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_iterations: int = 100, strict: bool = True) -> DataFrame:
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns) for batch in batches]
+        if held:
+            kind = None if held[0][0].dtype != object else pa.string()
+            node, root = union_find(*(np.concatenate(c) for c in zip(*held)))
+            yield pa.RecordBatch.from_arrays([pa.array(node, kind), pa.array(root, kind)], ["node", "parent"])
+
+    return edges.coalesce(1).mapInArrow(run, edges.schema)
+
+
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_iterations: int = 100, strict: bool = True, task_edges: int = TASK_EDGES) -> DataFrame:
     """(node, root): one row for each node of an edge, root being the least node of its component.
 
     Edges with a null end are ignored; self-loops only make their node
     appear. Rounds repeat until the edge set stands still (row count and
-    checksum); at ``max_iterations`` the call raises, or returns what it has
-    with strict=False. Each round reads the last one's written table, so a
-    lost executor costs at most one round.
+    checksum), or until at most ``task_edges`` edges are left, which one task
+    finishes by union-find; at ``max_iterations`` the call raises, or returns
+    what it has with strict=False. Each round reads the last one's written
+    table, so a lost executor costs at most one round. Ids are integers or
+    strings.
     """
     pairs = edges.select(F.col(src).alias("node"), F.col(dst).alias("parent")).dropna()
     nodes = _both_ways(pairs).select(F.col("u").alias("node")).distinct()
@@ -52,6 +73,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     for _ in range(max_iterations):
         if not mark[0]:
             break
+        if mark[0] <= task_edges:
+            now = _in_one_task(now)
+            break
         after = written(small_star(large_star(now)).where("node <> parent"), "star")
         release(now)
         now, last, mark = after, mark, _fingerprint(after)

@@ -117,8 +117,9 @@ def minhash_signature(spark, d):
 
 def empty_signature(spark, d):
     """Texts with fewer than 200 code points have no 200-gram: their signature is all ones."""
-    signed = with_signatures(table(spark, d, "documents").where(F.length("text") < 200).select("doc_id", "text"), "text", SHORT.with_(ngram=200))
-    return signed.select("doc_id", F.array_min("minhash").alias("low"), F.array_max("minhash").alias("high"), F.size("minhash").alias("n"))
+    signed = with_signatures(spread(table(spark, d, "documents").select("doc_id", "text")), "text", SHORT.with_(ngram=200))
+    low = F.array_min("minhash").alias("low")
+    return signed.select("doc_id", low, F.array_max("minhash").alias("high"), F.size("minhash").alias("n")).where(F.col("low") == MASK_32)
 
 
 def lsh_bands(spark, d):
@@ -180,6 +181,11 @@ def components_of_edges(spark, d):
     return connected_components(links_of(spark, d))
 
 
+def components_by_stars(spark, d):
+    """Star contraction to its fixpoint, none of it left to one task."""
+    return connected_components(links_of(spark, d), task_edges=0)
+
+
 def components_of_orders(spark, d):
     """Customers and orders as one graph; customers are negative."""
     o = table(spark, d, "orders").select((-F.col("o_custkey") - 1).alias("src"), F.col("o_orderkey").alias("dst"))
@@ -259,7 +265,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         text_normalized, char_ngram_counts, punct_shingles, space_shingles, token_hashes, minhash_signature, empty_signature,
         lsh_bands, lsh_bands_rawkey, bands_from_signatures, band_checkpoint_roundtrip, lsh_optimal_params,
         band_collisions, band_star_edges, pairs_csv_roundtrip, distinct_edges, large_star_step, small_star_step,
-        components_of_edges, components_of_orders, components_of_strings, band_clusters,
+        components_of_edges, components_by_stars, components_of_orders, components_of_strings, band_clusters,
         dedup_keep, duplicate_ids, dedup_keep_stripped, dedup_keep_string_order, dedup_metrics, keep_by_stored_bands, cluster_sizes, cluster_samples,
         p5_key_stats, p5_found,
     )
@@ -378,6 +384,7 @@ def oracle() -> dict[str, str]:
           m AS (SELECT u, min(v) AS m FROM e GROUP BY u)
           SELECT v AS node, m AS parent FROM e JOIN m USING (u) UNION SELECT u, m FROM m""",
         "components_of_edges": f"WITH RECURSIVE {_components_ctes(EDGES)} SELECT node, root FROM cc",
+        "components_by_stars": f"WITH RECURSIVE {_components_ctes(EDGES)} SELECT node, root FROM cc",
         "components_of_orders": f"WITH RECURSIVE {_components_ctes('SELECT -o_custkey - 1 AS a, o_orderkey AS b FROM orders')} SELECT node, root FROM cc",
         "components_of_strings": "WITH RECURSIVE " + _components_ctes("SELECT DISTINCT src::VARCHAR AS a, dst::VARCHAR AS b FROM edges WHERE src IS NOT NULL AND dst IS NOT NULL") + " SELECT node, root FROM cc",
         "band_clusters": f"{clusters} SELECT node AS doc_id, root FROM cc",

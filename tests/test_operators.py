@@ -41,25 +41,31 @@ GRAPHS = {
 }
 
 
+@pytest.mark.parametrize("in_task", [0, 10, 1000])
 @pytest.mark.parametrize("name", GRAPHS)
-def test_components(spark, name):
+def test_components(spark, name, in_task):
     df = spark.createDataFrame(GRAPHS[name], "src long, dst long")
-    got = connected_components(df).collect()
+    got = connected_components(df, task_edges=in_task).collect()
     assert {r["node"]: r["root"] for r in got} == roots_of(GRAPHS[name]) and len(got) == len(roots_of(GRAPHS[name]))
 
 
 def test_components_of_random_graphs(spark):
     draw = random.Random(3)
     links = [(draw.randrange(2000), draw.randrange(2000)) for _ in range(1500)]
-    got = connected_components(spark.createDataFrame(links, "src long, dst long").repartition(5)).collect()
-    assert {r["node"]: r["root"] for r in got} == roots_of(links)
+    df = spark.createDataFrame(links, "src long, dst long").repartition(5)
+    for in_task in (0, 1_000_000):
+        assert {r["node"]: r["root"] for r in connected_components(df, task_edges=in_task).collect()} == roots_of(links)
+    words = df.selectExpr("string(src) AS src", "string(dst) AS dst")
+    want = roots_of([(str(a), str(b)) for a, b in links])
+    for in_task in (0, 1_000_000):
+        assert {r["node"]: r["root"] for r in connected_components(words, task_edges=in_task).collect()} == want
 
 
 def test_component_rounds_are_limited(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(60)], "src long, dst long")
     with pytest.raises(NotConverged):
-        connected_components(df, max_iterations=1)
-    assert connected_components(df, max_iterations=1, strict=False).count() == 61
+        connected_components(df, max_iterations=1, task_edges=0)
+    assert connected_components(df, max_iterations=1, strict=False, task_edges=0).count() == 61
 
 
 def test_star_edges(spark):
