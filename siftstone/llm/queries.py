@@ -107,7 +107,14 @@ def oracle() -> dict[str, str]:
       g AS MATERIALIZED (SELECT DISTINCT doc_id, hash(g) AS g FROM (SELECT doc_id, {grams} AS g FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE g IS NOT NULL),
       n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
       both_in AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM g x JOIN g y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2)
-      SELECT a AS doc_a, b AS doc_b FROM both_in JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE k >= 0.7 * (p.n + q.n - k)"""
+      pair AS MATERIALIZED (SELECT a AS doc_a, b AS doc_b FROM both_in JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE k >= 0.7 * (p.n + q.n - k))"""
+    groups = similar.replace("WITH t", "WITH RECURSIVE t") + """, e AS MATERIALIZED (SELECT doc_a AS a, doc_b AS b FROM pair UNION ALL SELECT doc_b, doc_a FROM pair),
+      cc(node, root) USING KEY (node) AS (
+        SELECT DISTINCT a, a FROM e
+        UNION
+        (SELECT e.a, min(u.root) FROM cc u JOIN e ON e.b = u.node JOIN recurring.cc c ON c.node = e.a WHERE u.root < c.root GROUP BY e.a)),
+      deg AS (SELECT a, count(*) AS n_links FROM e GROUP BY a)
+      SELECT n.doc_id, coalesce(root, n.doc_id) AS group_id, coalesce(n_links, 0) AS n_links FROM n LEFT JOIN cc ON node = n.doc_id LEFT JOIN deg ON deg.a = n.doc_id"""
     alnum = "regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]', '', 'g')".format
     contents = f"""WITH d AS MATERIALIZED (SELECT doc_id, text, {alnum("text")} AS letters FROM documents WHERE length(text) >= 40),
       pieces AS (
@@ -130,7 +137,8 @@ def oracle() -> dict[str, str]:
         "p1_found": f"{share} SELECT doc_id FROM n WHERE n_repeated >= 0.30 * n_units AND n_units > 0",
         "p1_share": f"""{share} SELECT d.doc_id, CASE WHEN text IS NOT NULL THEN coalesce(n_units, 0) END AS n_units, CASE WHEN text IS NOT NULL THEN coalesce(n_repeated, 0) END AS n_repeated,
           CASE WHEN text IS NOT NULL THEN coalesce(n_repeated / n_units, 0.0) END::DOUBLE AS repeated_share FROM documents d LEFT JOIN n USING (doc_id)""",
-        "p3_found": similar,
+        "p3_found": f"{similar} SELECT doc_a, doc_b FROM pair",
+        "p3_groups": groups,
         "p4_found": f"{contents} SELECT first_doc, doc_id FROM first WHERE first_doc < doc_id",
         "p4_contents": f"{contents} SELECT first_doc, count(*) AS copies FROM first GROUP BY 1",
         "p2_found": f"""WITH RECURSIVE link AS MATERIALIZED ({links}),
