@@ -106,7 +106,7 @@ def oracle() -> dict[str, str]:
       u AS (SELECT doc_id, unnest(cs) AS c, generate_subscripts(cs, 1) AS i FROM t),
       g AS MATERIALIZED (SELECT DISTINCT doc_id, hash(g) AS g FROM (SELECT doc_id, {grams} AS g FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE g IS NOT NULL),
       n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-      both_in AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM g x JOIN g y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2)
+      both_in AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM g x JOIN g y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
       pair AS MATERIALIZED (SELECT a AS doc_a, b AS doc_b FROM both_in JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE k >= 0.7 * (p.n + q.n - k))"""
     groups = similar.replace("WITH t", "WITH RECURSIVE t") + """, e AS MATERIALIZED (SELECT doc_a AS a, doc_b AS b FROM pair UNION ALL SELECT doc_b, doc_a FROM pair),
       cc(node, root) USING KEY (node) AS (
