@@ -24,8 +24,8 @@ from siftstone.operators.scratch import release, written
 from siftstone.operators.skew import lookup
 
 LEAST_CHARS, GRAM, THRESHOLD = 40, 5, 0.7
-#: Wanted chance to find a pair just at the threshold; rows a band. More rows mean fewer chance candidates and more bands.
-RECALL, ROWS = 0.995, 7
+#: Wanted chance to find a pair just at the threshold, and rows a band in collections of up to ROWS_TEXTS texts.
+RECALL, ROWS, ROWS_TEXTS = 0.995, 7, 500_000
 #: Minima kept as single bytes in the sketch, and how far below the threshold (in standard errors) its estimate may lie.
 SKETCH, SKETCH_ERRORS = 64, 4.0
 #: Rows of one band key that are compared in one go; larger groups are cut into blocks of this size.
@@ -39,6 +39,16 @@ def plan_bands(threshold: float = THRESHOLD, recall: float = RECALL, rows: int =
     return int(np.ceil(np.log(1 - recall) / np.log(1 - threshold**rows)))
 
 
+def plan_rows(texts: int) -> int:
+    """Rows a band for a collection of this size.
+
+    Chance candidates grow with the square of the collection; one more row for
+    each tenfold size divides them by three or more at the same recall, as the
+    number of bands follows the rows.
+    """
+    return ROWS + max(0, int(np.ceil(np.log10(max(texts, 1) / ROWS_TEXTS))))
+
+
 def gram_hashes(text: str, n: int = GRAM) -> np.ndarray:
     """Distinct 64-bit hashes of the code-point n-grams of the lower-cased text, ascending."""
     hashes = np.sort(window_hashes(code_points(text.lower()), n))
@@ -235,7 +245,7 @@ def _similar(pairs: DataFrame, texts: DataFrame, threshold: float, n: int) -> Da
     return both.mapInArrow(run, "a bigint, b bigint, similarity double")
 
 
-def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, least_chars: int = LEAST_CHARS, n: int = GRAM, recall: float = RECALL, rows: int = ROWS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, least_chars: int = LEAST_CHARS, n: int = GRAM, recall: float = RECALL, rows: int | None = None, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(pairs, members): pairs of distinct texts (a, b, similarity), each text named by its
     least doc_id; members (rep, doc_id) tells which documents have that very text.
 
@@ -248,6 +258,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first = ids.groupBy("raw").agg(F.min("doc_id").alias("rep"))
     members = written(lookup(ids, first, "raw").select("rep", "doc_id"), "members")
     copies = members.where("rep <> doc_id").select("doc_id")
+    rows = rows or plan_rows(members.count())
     signed = written(signatures(spread(texts), plan_bands(threshold, recall, rows), rows, n), "signatures")
     distinct = signed.join(copies, "doc_id", "left_anti")
     likely = written(_sketched(candidates(distinct, threshold, block), signed.select("doc_id", "sketch"), threshold), "likely")

@@ -1,6 +1,6 @@
 import random
 
-from siftstone.llm.near import gram_hashes, plan_bands, signatures, similar_groups, similar_pairs
+from siftstone.llm.near import gram_hashes, plan_bands, plan_rows, signatures, similar_groups, similar_pairs
 
 
 def grams(t):
@@ -33,6 +33,18 @@ def test_bands_for_recall():
     assert 1 - (1 - 0.7**7) ** b >= 0.995 > 1 - (1 - 0.7**7) ** (b - 1)
 
 
+def test_rows_follow_the_size():
+    assert [plan_rows(n) for n in (0, 10, 500_000, 500_001, 5_000_000, 10**9)] == [7, 7, 7, 8, 8, 11]
+
+
+def test_more_rows_find_the_same_pairs(spark):
+    rows = corpus(5, 60)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    got = {(r["doc_a"], r["doc_b"]) for r in similar_pairs(df, rows=9).collect()}
+    assert got <= want and len(got) >= 0.99 * len(want)
+
+
 def test_gram_hashes_are_the_set():
     for t in ("abc", "abcde", "aaaaaaaaaa", "日本語文字列😀ab", "ABCabcABC" * 9):
         assert len(gram_hashes(t)) == len(grams(t))
