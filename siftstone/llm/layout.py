@@ -82,7 +82,9 @@ def equal_contents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     made of named fields group on their sorted fields. All sums have map-side
     partial results, so a text with a third of all rows costs one row a task.
     Null texts and those under ``least_chars`` take no part. A text without
-    letters and digits equals every other such text.
+    letters and digits equals every other such text. Every row is a copy, repeated
+    rows too. Should equal letters come from cards with different fields, the least
+    fields stand for them all. Other columns are not read.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.length("text") >= least_chars)
     distinct = texts.groupBy("text").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies"))
@@ -103,7 +105,7 @@ def equal_contents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def copies_by_layout(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(first_doc, doc_id): each document but the first of every group of equal documents.
+    """(first_doc, doc_id): each document but the first of every group of equal documents, no row twice.
 
     Members come from a second scan that carries only the raw text's SHA-256; a
     hot text is looked up in a broadcast of the few hot keys, never shuffled.
@@ -111,4 +113,4 @@ def copies_by_layout(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     groups, raw = equal_contents(docs, id_col, text_col)
     shared = raw.join(groups.where("copies > 1").select("content", "first_doc"), "content").select("raw", "first_doc")
     mine = docs.where(F.length(text_col) >= LEAST_CHARS).select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(F.col(text_col), 256)).alias("raw"))
-    return lookup(mine, written(shared, "shared"), "raw").where("doc_id <> first_doc").select("first_doc", "doc_id")
+    return lookup(mine, written(shared, "shared"), "raw").where("doc_id <> first_doc").select("first_doc", "doc_id").distinct()

@@ -249,12 +249,16 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(pairs, members): pairs of distinct texts (a, b, similarity), each text named by its
     least doc_id; members (rep, doc_id) tells which documents have that very text.
 
-    Null texts and those under ``least_chars`` code points take no part. Ids are
-    bigints, unique; a row with a null id takes no part. Other columns are not
-    read. Both frames are read from written tables.
+    Null texts and those under ``least_chars`` code points take no part, nor do
+    rows with a null id. Ids are bigints. A repeated row counts once; of several
+    texts under one id the least counts. Other columns are not read. Both frames
+    are read from written tables.
     """
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull() & (F.length("text") >= least_chars))
-    ids = texts.select("doc_id", F.unhex(F.sha2("text", 256)).alias("raw"))
+    ids = written(texts.select("doc_id", F.unhex(F.sha2("text", 256)).alias("raw")), "ids")
+    if ids.select("doc_id").distinct().count() < ids.count():
+        texts = written(texts.groupBy("doc_id").agg(F.min("text").alias("text")), "one-text-an-id")
+        ids = written(texts.select("doc_id", F.unhex(F.sha2("text", 256)).alias("raw")), "ids")
     first = ids.groupBy("raw").agg(F.min("doc_id").alias("rep"))
     members = written(lookup(ids, first, "raw").select("rep", "doc_id"), "members")
     copies = members.where("rep <> doc_id").select("doc_id")

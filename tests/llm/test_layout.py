@@ -80,6 +80,13 @@ def test_table(spark):
     assert copies_by_layout(df.limit(0)).count() == 0
 
 
+def test_repeated_rows(spark):
+    text = "One page with more than forty characters, again."
+    df = spark.createDataFrame([(1, text), (1, text), (2, text.upper()), (2, text.upper()), (3, text)], "doc_id long, text string")
+    assert sorted(map(tuple, copies_by_layout(df).collect())) == [(1, 2), (1, 3)]
+    assert [tuple(r) for r in equal_contents(df)[0].select("first_doc", "copies").collect()] == [(1, 5)]
+
+
 def test_real_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]

@@ -81,6 +81,14 @@ def test_copies_and_groups(spark):
     assert similar_pairs(df.limit(0)).count() == 0 and similar_groups(df.limit(0)).count() == 0
 
 
+def test_repeated_rows_and_ids(spark):
+    text = "one page that stands in the table more than once, under more than one number"
+    rows = [(1, text), (1, text), (2, text), (2, text), (3, text + "!"), (4, "a wholly different text which is under number four, twice"), (4, text), (None, text)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_a"], r["doc_b"]) for r in similar_pairs(df).collect())
+    assert got == [(1, 2), (1, 3), (2, 3)]
+
+
 def test_signatures_do_not_depend_on_batches(spark):
     df = spark.createDataFrame(corpus(2, 20), "doc_id long, text string")
     one = {r["doc_id"]: r["bands"] for r in signatures(df.coalesce(1), 10).collect()}
