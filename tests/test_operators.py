@@ -90,6 +90,13 @@ def test_salted_stats(spark):
     assert salted_key_stats(df.limit(0), ["k"], "v").count() == 0
 
 
+def test_salted_stats_ignore_other_columns(spark):
+    rows = [("a", 1, 0, 0, "x"), ("a", 1, 1, 1, "y"), ("a", 2, 2, 2, "z"), ("b", None, 3, 3, "w")]
+    df = spark.createDataFrame(rows, "k string, v long, n_rows int, __salt int, __value string")
+    got = {r["k"]: tuple(r)[1:] for r in salted_key_stats(df, ["k"], "v", heavy_share=0.1).collect()}
+    assert got == {"a": (3, 1, 2), "b": (1, None, 0)}
+
+
 def test_hot_rows_spread(spark):
     """A key with most rows takes part in as many groups as it has salts."""
     df = spark.range(20000).select(F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"), "id")
