@@ -67,8 +67,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     strings.
     """
     pairs = edges.select(F.col(src).alias("node"), F.col(dst).alias("parent")).dropna()
-    nodes = _both_ways(pairs).select(F.col("u").alias("node")).distinct()
-    now = written(pairs.where("node <> parent").distinct(), "edges")
+    base = written(pairs.distinct(), "edges")
+    nodes = _both_ways(base).select(F.col("u").alias("node")).distinct()
+    now = base.where("node <> parent")
     mark = _fingerprint(now)
     for _ in range(max_iterations):
         if not mark[0]:
