@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.operators.skew import lookup
+from siftstone.operators.skew import counted_heavy, lookup
 
 
 def keyed_minimum(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -21,8 +21,9 @@ def star_edges(bands: DataFrame, keys: tuple[str, ...] = ("band_id", "band_hash"
     or ids link nothing.
     """
     clean = bands.dropna(subset=[*keys, value]).select(*keys, value)
-    reps = keyed_minimum(clean, list(keys), value).drop("members")
-    return lookup(clean, reps, list(keys)).where(F.col(value) > F.col("rep")).select(F.col("rep").alias("src"), F.col(value).alias("dst")).distinct()
+    reps = keyed_minimum(clean, list(keys), value)
+    hot = counted_heavy(reps, list(keys), "members")
+    return lookup(clean, reps.drop("members"), list(keys), hot=hot).where(F.col(value) > F.col("rep")).select(F.col("rep").alias("src"), F.col(value).alias("dst")).distinct()
 
 
 def distinct_pairs(df: DataFrame, first: str, second: str) -> DataFrame:

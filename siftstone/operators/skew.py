@@ -20,6 +20,12 @@ def heavy_keys(rows: DataFrame, keys: list[str], share: float = HEAVY_SHARE) ->
     return counts.where(F.col("key_rows") > F.lit(share) * total).withColumn("all_rows", total)
 
 
+def counted_heavy(counts: DataFrame, keys: list[str], n: str, share: float = HEAVY_SHARE) -> DataFrame:
+    """Of keys with their row counts ``n``, those above ``share`` of the sum of all counts: fewer than 1/share."""
+    total = counts.agg(F.sum(n).alias("n")).scalar()
+    return counts.where(F.col(n) > F.lit(share) * total).select(*keys)
+
+
 def salted_key_stats(rows: DataFrame, keys: list[str], value: str, heavy_share: float = HEAVY_SHARE, salt_rows_share: float = 0.0005, max_salts: int = 4096) -> DataFrame:
     """Per key: ``n_rows``, ``min_value``, ``n_distinct`` of ``value`` (null values count as rows only).
 
@@ -51,15 +57,18 @@ def salted_key_stats(rows: DataFrame, keys: list[str], value: str, heavy_share:
     return partial.groupBy(*keys).agg(F.sum("__n").alias("n_rows"), F.min("__m").alias("min_value"), F.sum("__d").alias("n_distinct"))
 
 
-def lookup(rows: DataFrame, table: DataFrame, keys: str | list[str], heavy_share: float = HEAVY_SHARE, how: str = "inner") -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, keys: str | list[str], heavy_share: float = HEAVY_SHARE, how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
     """``rows`` joined to ``table`` (unique in ``keys``) though a key may hold any share of the rows.
 
     Rows of heavy keys meet a broadcast of just those keys' table rows (fewer
     than 1/heavy_share); all others take an ordinary shuffled join. No row is
-    dropped, and no hot key is ever shuffled. A null key finds nothing.
+    dropped, and no hot key is ever shuffled. A null key finds nothing. A caller
+    that has the keys' counts already passes the heavy ones as ``hot``, made by
+    ``counted_heavy``, and saves the count.
     """
     keys = [keys] if isinstance(keys, str) else keys
-    hot = heavy_keys(rows.select(*keys).dropna(), keys, heavy_share).select(*keys)
+    if hot is None:
+        hot = heavy_keys(rows.select(*keys).dropna(), keys, heavy_share).select(*keys)
     hot_table = table.join(F.broadcast(hot), keys, "left_semi")
     marked = rows.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), keys, "left")
     return (
