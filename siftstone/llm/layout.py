@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from siftstone.llm.units import letters_and_digits
 from siftstone.operators.scratch import written
-from siftstone.operators.skew import lookup
+from siftstone.operators.skew import counted_heavy, lookup
 
 LEAST_CHARS = 40
 #: Words and characters a field's name may have.
@@ -74,7 +74,7 @@ def canonical(text: str) -> tuple[bytes, bytes | None]:
 
 def equal_contents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS) -> tuple[DataFrame, DataFrame]:
     """(groups, raw): ``groups`` has (content, first_doc, copies), one row per content;
-    ``raw`` has (raw, content) for each distinct raw text, both as SHA-256.
+    ``raw`` has (raw, content, raw_copies) for each distinct raw text, both as SHA-256.
 
     Byte-identical texts collapse first, with counts; only the distinct ones are
     made canonical; these group on their whole canonical text (by its SHA-256, so
@@ -101,7 +101,7 @@ def equal_contents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     content = F.coalesce("fields", "letters").alias("content")
     merged = written(by_letters.select("letters", content, "first_doc", "copies"), "contents")
     groups = merged.groupBy("content").agg(F.min("first_doc").alias("first_doc"), F.sum("copies").alias("copies"))
-    return groups, made.select("raw", "letters").join(merged.select("letters", "content"), "letters").select("raw", "content")
+    return groups, made.select("raw", "letters", F.col("copies").alias("raw_copies")).join(merged.select("letters", "content"), "letters").select("raw", "content", "raw_copies")
 
 
 def copies_by_layout(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -111,6 +111,7 @@ def copies_by_layout(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     hot text is looked up in a broadcast of the few hot keys, never shuffled.
     """
     groups, raw = equal_contents(docs, id_col, text_col)
+    hot = counted_heavy(raw, ["raw"], "raw_copies")
     shared = raw.join(groups.where("copies > 1").select("content", "first_doc"), "content").select("raw", "first_doc")
     mine = docs.where(F.length(text_col) >= LEAST_CHARS).select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(F.col(text_col), 256)).alias("raw"))
-    return lookup(mine, written(shared, "shared"), "raw").where("doc_id <> first_doc").select("first_doc", "doc_id").distinct()
+    return lookup(mine, written(shared, "shared"), "raw", hot=hot).where("doc_id <> first_doc").select("first_doc", "doc_id").distinct()

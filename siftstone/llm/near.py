@@ -21,7 +21,7 @@ from siftstone.llm.grouping import components
 from siftstone.llm.units import code_points, mixed, window_hashes
 from siftstone.operators.layout import spread
 from siftstone.operators.scratch import release, written
-from siftstone.operators.skew import lookup
+from siftstone.operators.skew import counted_heavy, lookup
 
 LEAST_CHARS, GRAM, THRESHOLD = 40, 5, 0.7
 #: Wanted chance to find a pair just at the threshold, and rows a band in collections of up to ROWS_TEXTS texts.
@@ -259,8 +259,8 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if ids.select("doc_id").distinct().count() < ids.count():
         texts = written(texts.groupBy("doc_id").agg(F.min("text").alias("text")), "one-text-an-id")
         ids = written(texts.select("doc_id", F.unhex(F.sha2("text", 256)).alias("raw")), "ids")
-    first = ids.groupBy("raw").agg(F.min("doc_id").alias("rep"))
-    members = written(lookup(ids, first, "raw").select("rep", "doc_id"), "members")
+    first = ids.groupBy("raw").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    members = written(lookup(ids, first, "raw", hot=counted_heavy(first, ["raw"], "copies")).select("rep", "doc_id"), "members")
     copies = members.where("rep <> doc_id").select("doc_id")
     rows = rows or plan_rows(members.count())
     signed = written(signatures(spread(texts), plan_bands(threshold, recall, rows), rows, n), "signatures")
@@ -296,4 +296,4 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     group = components(pairs.select("a", "b")).select(F.col("node").alias("rep"), F.col("component").alias("__g"))
     rep = sizes.join(links.withColumnRenamed("a", "rep"), "rep", "left").join(group, "rep", "left")
     per_text = rep.select("rep", F.coalesce("__g", "rep").alias("group_id"), (F.coalesce("__l", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return lookup(members, per_text, "rep").select("doc_id", "group_id", "n_links")
+    return lookup(members, per_text, "rep", hot=counted_heavy(sizes, ["rep"], "copies")).select("doc_id", "group_id", "n_links")
