@@ -342,14 +342,12 @@ def best_units(text: str, start: int, end: int, gaps: list[tuple[int, float]]) -
         return
     score = [0.0] + [float("-inf")] * (len(nodes) - 1)
     source = [0] * len(nodes)
-    top = last = 0  # best node before the last letter or digit; first node after it
-    tops = [0]
+    top = last = 0  # best node before the last letter or digit; last such node
     for j in range(1, len(nodes)):
         filled = any(c.isalnum() for c in text[nodes[j - 1][0] : nodes[j][0]])
         if filled:
+            top = max((top, *range(last + 1, j)), key=lambda i: score[i])
             last = j - 1
-            top = max(range(tops[-1] if tops else 0, j), key=lambda i: score[i]) if j - (tops[-1] if tops else 0) < 64 else last
-            tops.append(top)
             choice, value = top, score[top]
         else:
             choice, value = top, score[top]

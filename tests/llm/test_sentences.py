@@ -63,6 +63,13 @@ def test_lattices():
     assert list(best_units("a! ... b", 0, 8, [(2, 4.0), (6, 3.0)])) == [(0, 2), (2, 8)] or list(best_units("a! ... b", 0, 8, [(2, 4.0), (6, 3.0)])) == [(0, 6), (6, 8)]
 
 
+def test_best_chain_looks_back_over_all_gaps():
+    words = "stop. " * 200 + "end"
+    assert list(best_units(words, 0, len(words), [(6 * k + 5, -8.0) for k in range(200)])) == [(0, len(words))]
+    table = "\n".join(" ".join(f"{i}.{k}25" for k in range(8)) for i in range(10, 34))
+    assert sentences(table) == [(0, len(table))]
+
+
 def test_table(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "y"), (3, "One. Two.", "z"), (3, "One. Two.", "z")], "doc_id long, text string, start_char string")
     assert sorted(map(tuple, sentence_units(df).collect())) == [(3, 0, 4), (3, 0, 4), (3, 5, 9), (3, 5, 9)]
