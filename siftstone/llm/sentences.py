@@ -413,13 +413,21 @@ def segments(text: str) -> Iterator[tuple[int, int]]:
         yield start, len(text)
 
 
+def _cased(part: str) -> bool:
+    """Whether lower-case letters are no fewer than upper-case ones."""
+    return sum(map(str.islower, part)) >= sum(map(str.isupper, part))
+
+
 def sentences(text: str) -> list[tuple[int, int]]:
-    """(start, end) of every sentence in code points, without blanks at the edges; together they hold all other characters."""
-    lower = sum(map(str.islower, text[:4000]))
-    upper = sum(map(str.isupper, text[:4000]))
+    """(start, end) of every sentence in code points, without blanks at the edges; together they hold all other characters.
+
+    Case tells something in every segment of a text with case, and in the
+    segments with case of a text that is upper-case for the most part.
+    """
+    cased = _cased(text)
     out = []
     for a, b in segments(text):
-        for s, e in _Segment(text, a, b, lower >= upper).units():
+        for s, e in _Segment(text, a, b, cased or _cased(text[a:b])).units():
             unit = text[s:e]
             if stripped := unit.strip():
                 s += len(unit) - len(unit.lstrip())

@@ -70,6 +70,15 @@ def test_best_chain_looks_back_over_all_gaps():
     assert sentences(table) == [(0, len(table))]
 
 
+def test_case_is_not_judged_by_the_front_alone():
+    normal = ["Am 3. August kam Dr. Belisk heim.", "Er blieb bis zum 5. September.", "Die Werte sind neu.", "pH 7 ist neutral."]
+    front = "ALLE RECHTE VORBEHALTEN " * 200
+    assert [normal, normal * 60] == [[t[a:b] for a, b in sentences(t)][1:] for t in (front + "\n\n" + " ".join(normal * k) for k in (1, 60))]
+    upper = "- Am 3. AUGUST IN BONN"
+    text = " ".join(normal) + "\n\n" + upper
+    assert [text[a:b] for a, b in sentences(text)] == [*normal, upper]
+
+
 def test_table(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "y"), (3, "One. Two.", "z"), (3, "One. Two.", "z")], "doc_id long, text string, start_char string")
     assert sorted(map(tuple, sentence_units(df).collect())) == [(3, 0, 4), (3, 0, 4), (3, 5, 9), (3, 5, 9)]
