@@ -23,7 +23,7 @@ from siftstone.plans import report
 from siftstone.plans.dedup import deduplicate, deduplicate_stripped, document_bands, drop_ids, removed_ids, with_signatures
 from siftstone.sources.tables import limited, preview_rows, read_documents, schema_rows, stored_or_computed, write_pairs_csv
 
-#: Fewer permutations than in production for the stages that SQL repeats value by value.
+#: Fewer permutations than in production for the stages that SQL repeats value by value; FULL has them with all.
 SHORT = PLAIN.with_(num_perm=32)
 SHORT_STRIPPED = STRIPPED.with_(num_perm=32)
 SIZINGS = [(0.5, 128), (0.7, 16), (0.7, 32), (0.7, 64), (0.7, 128), (0.7, 256), (0.8, 128)]
@@ -110,34 +110,34 @@ def token_hashes(spark, d):
     return grams.select("gram", token_hash32(F.col("gram")).alias("hash"))
 
 
-def minhash_signature(spark, d):
-    signed = with_signatures(spread(table(spark, d, "documents").select("doc_id", "text")), "text", SHORT)
+def minhash_signature(spark, d, params=SHORT):
+    signed = with_signatures(spread(table(spark, d, "documents").select("doc_id", "text")), "text", params)
     return signed.where("minhash is not null").select("doc_id", F.posexplode("minhash").alias("perm_id", "value"))
 
 
-def empty_signature(spark, d):
+def empty_signature(spark, d, params=SHORT):
     """Texts with fewer than 200 code points have no 200-gram: their signature is all ones."""
-    signed = with_signatures(spread(table(spark, d, "documents").select("doc_id", "text")), "text", SHORT.with_(ngram=200))
+    signed = with_signatures(spread(table(spark, d, "documents").select("doc_id", "text")), "text", params.with_(ngram=200))
     low = F.array_min("minhash").alias("low")
     return signed.select("doc_id", low, F.array_max("minhash").alias("high"), F.size("minhash").alias("n")).where(F.col("low") == MASK_32)
 
 
-def lsh_bands(spark, d):
-    return document_bands(table(spark, d, "documents"), "doc_id", "text", SHORT)
+def lsh_bands(spark, d, params=SHORT):
+    return document_bands(table(spark, d, "documents"), "doc_id", "text", params)
 
 
-def lsh_bands_rawkey(spark, d):
-    return document_bands(table(spark, d, "documents"), "doc_id", "text", SHORT_STRIPPED, raw=True)
+def lsh_bands_rawkey(spark, d, params=SHORT_STRIPPED):
+    return document_bands(table(spark, d, "documents"), "doc_id", "text", params, raw=True)
 
 
-def bands_from_signatures(spark, d):
-    signed = with_signatures(spread(table(spark, d, "documents").select("doc_id", "text")), "text", SHORT).select("doc_id", "minhash")
-    return explode_bands(signed, "doc_id", "minhash", SHORT.bands, SHORT.rows)
+def bands_from_signatures(spark, d, params=SHORT):
+    signed = with_signatures(spread(table(spark, d, "documents").select("doc_id", "text")), "text", params).select("doc_id", "minhash")
+    return explode_bands(signed, "doc_id", "minhash", params.bands, params.rows)
 
 
-def band_checkpoint_roundtrip(spark, d):
+def band_checkpoint_roundtrip(spark, d, params=SHORT):
     path = f"{shared_folder(spark)}/bands-{uuid.uuid4().hex}"
-    make = partial(document_bands, table(spark, d, "documents"), "doc_id", "text", SHORT)
+    make = partial(document_bands, table(spark, d, "documents"), "doc_id", "text", params)
     stored_or_computed(spark, path, make)
     return stored_or_computed(spark, path, make)
 
@@ -217,9 +217,9 @@ def dedup_keep_stripped(spark, d):
     return kept.select("doc_id", F.md5("text").alias("text_md5"))
 
 
-def dedup_keep_string_order(spark, d):
+def dedup_keep_string_order(spark, d, params=SHORT):
     docs = table(spark, d, "documents")
-    return deduplicate(docs, params=SHORT.with_(id_order="string")).kept.select("doc_id")
+    return deduplicate(docs, params=params.with_(id_order="string")).kept.select("doc_id")
 
 
 def dedup_metrics(spark, d):
@@ -271,6 +271,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+#: The same stages with all permutations of production, as NAME_full.
+FULL = {f: PLAIN for f in (minhash_signature, empty_signature, lsh_bands, bands_from_signatures, band_checkpoint_roundtrip, dedup_keep_string_order)} | {lsh_bands_rawkey: STRIPPED}
+QUERIES |= {f"{f.__name__}_full": partial(f, params=params) for f, params in FULL.items()}
+
 
 # ---- SQL
 
@@ -371,6 +375,14 @@ def oracle() -> dict[str, str]:
         "bands_from_signatures": f"WITH {_signature_ctes(SHORT, LOWER)} SELECT id AS doc_id, band_id, key AS band_hash FROM band",
         "band_checkpoint_roundtrip": f"WITH {_signature_ctes(SHORT, LOWER)} SELECT id AS doc_id, band_id, key AS band_hash FROM band",
         "lsh_bands_rawkey": f"WITH {_signature_ctes(SHORT_STRIPPED, STRIP)} SELECT id AS doc_id, band_id, raw_key AS band_key FROM band",
+        "minhash_signature_full": f"WITH {_signature_ctes(PLAIN, LOWER)} SELECT id AS doc_id, perm_id, v AS value FROM sig",
+        "empty_signature_full": f"SELECT doc_id, {MASK_32} AS low, {MASK_32} AS high, {PLAIN.num_perm} AS n FROM documents WHERE length(text) < 200",
+        **dict.fromkeys(
+            ("lsh_bands_full", "bands_from_signatures_full", "band_checkpoint_roundtrip_full"),
+            f"WITH {_signature_ctes(PLAIN, LOWER)} SELECT id AS doc_id, band_id, key AS band_hash FROM band",
+        ),
+        "lsh_bands_rawkey_full": f"WITH {_signature_ctes(STRIPPED, STRIP)} SELECT id AS doc_id, band_id, raw_key AS band_key FROM band",
+        "dedup_keep_string_order_full": _dedup(PLAIN, LOWER, "SELECT doc_id FROM documents WHERE doc_id::VARCHAR NOT IN (SELECT node FROM gone)", "sid", "(SELECT doc_id::VARCHAR AS sid, text FROM documents)"),
         "lsh_optimal_params": _sizing_sql(),
         "band_collisions": """SELECT band_id, band_hash, min(doc_id) AS rep, count(*) AS members FROM bands
           WHERE doc_id IS NOT NULL AND band_id IS NOT NULL AND band_hash IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1""",

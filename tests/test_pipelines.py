@@ -1,11 +1,17 @@
 """Whole runs, sources, reports, streams, the command line."""
 
+import hashlib
+import string
+
+import numpy as np
 import pytest
 
 from siftstone.cli import main
+from siftstone.functions.lsh import permutations
 from siftstone.params import PLAIN, STRIPPED
 from siftstone.plans import report
 from siftstone.plans.dedup import deduplicate, deduplicate_stripped, document_bands
+from siftstone.queries import QUERIES
 from siftstone.sources.tables import inspect, limited, list_files, path_exists, read_documents, require_unique, stored_or_computed
 from siftstone.streaming.incremental import deduplicate_stream, read_stream
 
@@ -134,3 +140,45 @@ def test_only_entry_imports_the_subpackage():
             assert "siftstone.llm" not in path.read_text(), path
 
 
+
+
+def test_full_queries_against_brute_force(spark):
+    """All 128 permutations in every stage that also runs with fewer beside its SQL."""
+    d = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()}
+
+    def signatures(params, clean):
+        a, b = (np.array(x, dtype=np.uint64) for x in permutations(params.seed, 128))
+        out = {}
+        for i, text in texts.items():
+            if text is not None:
+                t = clean(text.lower())
+                grams = {t[k : k + params.ngram] for k in range(len(t) - params.ngram + 1)}
+                h = np.array([int.from_bytes(hashlib.sha1(g.encode()).digest()[:4], "little") for g in grams], dtype=np.uint64)
+                values = (h[:, None] * a + b) % np.uint64(2**61 - 1) % np.uint64(2**32)
+                out[i] = values.min(axis=0) if grams else np.full(128, 2**32 - 1, dtype=np.uint64)
+        return out
+
+    def rows(name):
+        return sorted(map(tuple, QUERIES[f"{name}_full"](spark, d).collect()))
+
+    plain = signatures(PLAIN, str)
+    parts = {(i, k): v[9 * k : 9 * k + 9].astype("<u4").tobytes() for i, v in plain.items() for k in range(14)}
+    bands = sorted((*k, hashlib.sha256(v).hexdigest()[:16]) for k, v in parts.items())
+    assert rows("minhash_signature") == sorted((i, k, int(x)) for i, v in plain.items() for k, x in enumerate(v))
+    assert rows("lsh_bands") == rows("bands_from_signatures") == rows("band_checkpoint_roundtrip") == bands
+    assert rows("empty_signature") == sorted((i, 2**32 - 1, 2**32 - 1, 128) for i, t in texts.items() if t is not None and len(t) < 200)
+
+    stripped = signatures(STRIPPED, lambda t: t.translate(str.maketrans("", "", string.punctuation)))
+    assert rows("lsh_bands_rawkey") == sorted((i, k, (k.to_bytes(4, "big") + v[13 * k : 13 * k + 13].astype("<u4").tobytes()).hex()) for i, v in stripped.items() for k in range(9))
+
+    least, changed = {str(i): str(i) for i in texts}, True
+    while changed:
+        groups = {}
+        for (i, k), v in parts.items():
+            groups[k, v] = min(groups.get((k, v), least[str(i)]), least[str(i)])
+        was = dict(least)
+        for (i, k), v in parts.items():
+            least[str(i)] = min(least[str(i)], groups[k, v])
+        changed = was != least
+    assert rows("dedup_keep_string_order") == sorted((i,) for i in texts if least[str(i)] == str(i)) != sorted((i,) for i in texts)
