@@ -65,6 +65,8 @@ _RUN = re.compile(f"[{re.escape(TERMINATORS)}]+")
 _EVENT = re.compile("[" + re.escape("".join(OPENERS) + "".join(CLOSERS)) + "]")
 _THAI_GAP = re.compile(r"(?<=[฀-๿])\s+|\s+(?=[฀-๿])")
 _ADDRESS = re.compile(r"@|://|^www\.|\.(?:txt|csv|pdf|json|html?|com|org|net|example|xml|zip|md|py|jpg|png)\W*$", re.IGNORECASE)
+#: What an address is known by before its end.
+_ADDRESS_START = re.compile(r"@|://|^www\.", re.IGNORECASE)
 _WORDS = REPORTING_WORDS | QUOTATIVES | RESUMING_WORDS | OPENING_WORDS | FINAL_WORDS
 _LONGEST = max(map(len, _WORDS))
 #: A first line of at most this length without a terminator is a heading; wrapped lines are longer.
@@ -135,6 +137,7 @@ class _Segment:
     def __init__(self, text: str, start: int, end: int, cased: bool) -> None:
         self.text, self.start, self.end, self.cased = text, start, end, cased
         self.spans = self._spans()
+        self.run = (start, start, end)
 
     def _spans(self) -> list[tuple[int, int]]:
         """Outermost matched quotations and brackets, both ends included; what has no partner counts as ordinary."""
@@ -191,6 +194,19 @@ class _Segment:
             k -= 1
         return self.text[k:at].strip("".join(OPENERS) + "".join(CLOSERS) + ",;:'’")
 
+    def _in_address(self, at: int) -> bool:
+        """Whether an address begins before a place in its run of characters without blanks or spaceless scripts, however long; each run is read once."""
+        if not self.run[0] < at <= self.run[1]:
+            text, k, end = self.text, at, at
+            while k > self.start and not text[k - 1].isspace() and not spaceless(text[k - 1]):
+                k -= 1
+            while end < self.end and not text[end].isspace() and not spaceless(text[end]):
+                end += 1
+            run = text[k:end].lstrip("".join(OPENERS) + "".join(CLOSERS) + ",;:'’")
+            found = _ADDRESS_START.search(run)
+            self.run = (k, end, end - len(run) + found.start() if found else end)
+        return self.run[2] < at
+
     def _point(self, a: int, b: int, unit: int) -> float:
         """Weight of the end after the terminators a..b."""
         text = self.text
@@ -214,7 +230,7 @@ class _Segment:
             return NEVER
         if close:
             token = re.compile(r"\S*").match(text, b)[0]
-            if _ADDRESS.search(self._token(a) + run + token.rstrip(".!?,;:")):
+            if self._in_address(a) or _ADDRESS.search(self._token(a) + run + token.rstrip(".!?,;:")):
                 return NEVER
         if "!" in run or "?" in run:
             return NEVER if kind == "lower" else 4.0

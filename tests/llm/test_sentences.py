@@ -79,6 +79,15 @@ def test_case_is_not_judged_by_the_front_alone():
     assert [text[a:b] for a, b in sentences(text)] == [*normal, upper]
 
 
+@pytest.mark.parametrize("front", ["https://example.net/", "(www.example.net/", "desk@example.net/"])
+def test_long_addresses_stay_whole(front):
+    parts = [f"See {front}{'a/' * 60}q?Next=1&v=2.Part or ask.", "It is here."]
+    text = " ".join(parts)
+    assert [text[a:b] for a, b in sentences(text)] == parts
+    spaced = "x" * 80 + "?Next one."
+    assert len(sentences(spaced)) == 2
+
+
 def test_table(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "y"), (3, "One. Two.", "z"), (3, "One. Two.", "z")], "doc_id long, text string, start_char string")
     assert sorted(map(tuple, sentence_units(df).collect())) == [(3, 0, 4), (3, 0, 4), (3, 5, 9), (3, 5, 9)]
