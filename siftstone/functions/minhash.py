@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import string
 from collections.abc import Callable
 
 import numpy as np
@@ -13,7 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siftstone.functions.lsh import MASK_32, MERSENNE_61, permutations
-from siftstone.functions.windows import code_points, window_names
+from siftstone.functions.text import PUNCTUATION, WORD_BREAK
+from siftstone.functions.windows import code_points, window_hashes
 from siftstone.params import DedupParams
 
 #: Values hashed against all permutations at once, so that the work arrays fit a core's cache.
@@ -22,8 +22,7 @@ CHUNK = 256
 GROUP = 100_000
 #: Token hashes remembered by a Python worker.
 MEMO = 500_000
-_PUNCT = re.compile("[" + re.escape(string.punctuation) + "]")
-_SPACE = re.compile(r"\s+")
+_PUNCT, _SPACE = re.compile(PUNCTUATION), re.compile(WORD_BREAK)
 
 
 def shingle_set(text: str, params: DedupParams) -> set[str]:
@@ -106,7 +105,7 @@ def signer(params: DedupParams) -> Callable[[pd.Series], pd.Series]:
         for k, text in enumerate(texts):
             if text is None or text is pd.NA:
                 continue
-            windows = window_names(code_points(text), params.ngram)
+            windows = window_hashes(code_points(text), params.ngram)
             if not len(windows):
                 out[k] = empty
                 continue

@@ -11,7 +11,8 @@ from siftstone.functions.lsh import optimal_bands
 class DedupParams:
     """How texts become signatures, bands and links.
 
-    ``strip_punctuation`` deletes ASCII punctuation after lower-casing;
+    ``strip_punctuation`` deletes ASCII punctuation after lower-casing, and
+    ``ignore_pattern``, a Java regular expression, whatever it matches after that;
     ``tokenizer`` is "character" (code-point n-grams), "punctuation"
     (fragments between punctuation marks) or "space" (word n-grams).
     ``short_docs`` says what happens to texts with fewer than ``ngram``
@@ -27,6 +28,7 @@ class DedupParams:
     seed: int = 42
     lowercase: bool = True
     strip_punctuation: bool = False
+    ignore_pattern: str | None = None
     tokenizer: str = "character"
     short_docs: str = "merge"
     id_order: str = "native"
