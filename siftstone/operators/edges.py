@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftstone.operators.scratch import written
 from siftstone.operators.skew import counted_heavy, lookup
 
 
@@ -17,11 +18,12 @@ def star_edges(bands: DataFrame, keys: tuple[str, ...] = ("band_id", "band_hash"
     """(src, dst): each member of a key linked to the key's least member, repeated links once.
 
     n-1 links a key instead of all pairs. Only keys with two rows or more are
-    looked up; rows of hot keys meet their minimum without a shuffle. Null keys
-    or ids link nothing.
+    looked up; they are written once, with their minimum and count, and serve
+    the total, the list of hot keys and both look-ups. Rows of hot keys meet
+    their minimum without a shuffle. Null keys or ids link nothing.
     """
     clean = bands.dropna(subset=[*keys, value]).select(*keys, value)
-    reps = keyed_minimum(clean, list(keys), value)
+    reps = written(keyed_minimum(clean, list(keys), value), "keys")
     hot = counted_heavy(reps, list(keys), "members")
     return lookup(clean, reps.drop("members"), list(keys), hot=hot).where(F.col(value) > F.col("rep")).select(F.col("rep").alias("src"), F.col(value).alias("dst")).distinct()
 

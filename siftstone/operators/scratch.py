@@ -30,12 +30,18 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used; what is written there is deleted when the application ends."""
+    path = f"{shared_folder(spark)}/siftstone-{os.getpid()}/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def written(df: DataFrame, name: str = "step") -> DataFrame:
     """The same rows, read back from a table in the shared folder."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/siftstone-{os.getpid()}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._siftstone_path = path
     return out

@@ -9,15 +9,28 @@ from pyspark.sql import functions as F
 HEAVY_SHARE = 0.001
 
 
+#: Keys that the sketch of frequent keys tracks; its counts are off by at most 1/(0.75*SKETCH_KEYS) of the rows, and it names all keys above twice that.
+SKETCH_KEYS = 8192
+
+
 def heavy_keys(rows: DataFrame, keys: list[str], share: float = HEAVY_SHARE) -> DataFrame:
     """Keys that hold more than ``share`` of the rows, with ``key_rows`` and ``all_rows``.
 
-    Counted over all rows with map-side partial counts. The result has fewer
-    than 1/share rows, which is what allows it to be broadcast.
+    Two passes over the key columns, no shuffle of keys. The first adds up
+    mergeable sketches of frequent key hashes, one a task, and the row count;
+    every key above the share is among the hashes they track, for the share
+    exceeds what the sketch may miss. The second counts the rows of those
+    hashes' keys exactly, map-side, so the result is exact. It has fewer than
+    1/share rows, which is what allows it to be broadcast.
     """
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("key_rows"))
-    total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return counts.where(F.col("key_rows") > F.lit(share) * total).withColumn("all_rows", total)
+    if share * 0.75 * SKETCH_KEYS <= 2:
+        raise ValueError(f"share must exceed {2 / (0.75 * SKETCH_KEYS):.2g}")
+    name = F.xxhash64(*keys)
+    seen = rows.select(name.alias("h")).agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(h, {SKETCH_KEYS}, {SKETCH_KEYS})").alias("top"))
+    found = seen.select("n", F.explode("top").alias("t")).where(F.col("t.count") > F.lit(share) * F.col("n") / 2)
+    few = found.select(F.col("t.item").alias("__h"), F.col("n").alias("all_rows"))
+    counts = rows.select(*keys, name.alias("__h")).join(F.broadcast(few), "__h").groupBy(*keys).agg(F.count(F.lit(1)).alias("key_rows"), F.max("all_rows").alias("all_rows"))
+    return counts.where(F.col("key_rows") > F.lit(share) * F.col("all_rows"))
 
 
 def counted_heavy(counts: DataFrame, keys: list[str], n: str, share: float = HEAVY_SHARE) -> DataFrame:

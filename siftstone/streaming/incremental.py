@@ -26,7 +26,7 @@ def accept_batch(batch: DataFrame, index_path: str, batch_id: int, id_col: str =
     known = spark.read.parquet(index_path).where(F.col("batch") < batch_id) if path_exists(spark, index_path) else None
     fresh = bands
     if known is not None:
-        hit = bands.join(known.select("band_id", "band_hash").distinct(), ["band_id", "band_hash"], "left_semi").select("doc_id").distinct()
+        hit = bands.join(known.select("band_id", "band_hash"), ["band_id", "band_hash"], "left_semi").select("doc_id").distinct()
         fresh = bands.join(hit, "doc_id", "left_anti")
     inner = removed_ids(connected_components(star_edges(fresh)))
     accepted_bands = written(fresh.join(inner, "doc_id", "left_anti"), "accepted")
