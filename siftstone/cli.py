@@ -30,6 +30,10 @@ def parser() -> argparse.ArgumentParser:
     d.add_argument("--num-perm", type=int)
     d.add_argument("--ngram-size", type=int)
     d.add_argument("--seed", type=int)
+    d.add_argument("--bands", type=int, help="with --rows; else both follow from threshold and permutations")
+    d.add_argument("--rows", type=int)
+    d.add_argument("--keep-case", action="store_true", help="do not lower-case")
+    d.add_argument("--ignore-pattern", help="regular expression; what it matches is deleted before hashing")
     d.add_argument("--tokenizer", choices=["character", "punctuation", "space"])
     d.add_argument("--short-docs", choices=["merge", "keep"])
     d.add_argument("--id-order", choices=["native", "string"])
@@ -55,15 +59,18 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     if args.parallelism:
         spark.conf.set("spark.sql.shuffle.partitions", args.parallelism)
-    named = {"threshold": args.threshold, "num_perm": args.num_perm, "ngram": args.ngram_size, "seed": args.seed, "tokenizer": args.tokenizer, "short_docs": args.short_docs, "id_order": args.id_order, "max_iterations": args.max_cc_iterations}
+    if (args.bands is None) != (args.rows is None):
+        raise SystemExit("--bands and --rows go together")
+    named = {
+        "threshold": args.threshold, "num_perm": args.num_perm, "ngram": args.ngram_size, "seed": args.seed, "tokenizer": args.tokenizer, "short_docs": args.short_docs, "id_order": args.id_order,
+        "max_iterations": args.max_cc_iterations, "bands": args.bands, "rows": args.rows, "ignore_pattern": args.ignore_pattern, "lowercase": False if args.keep_case else None,
+    }
     params = (PLAIN if args.preset == "plain" else STRIPPED).with_(**{k: v for k, v in named.items() if v is not None})
     docs = limited(docs, args.id_column, args.limit)
     if args.check_unique:
         require_unique(docs, args.id_column)
-    if args.preset == "stripped":
-        write_parquet(deduplicate_stripped(docs, args.id_column, args.text_column, params), args.output)
-        return 0
-    result = deduplicate(docs, args.id_column, args.text_column, params, args.band_checkpoint)
+    run = deduplicate if args.preset == "plain" else deduplicate_stripped
+    result = run(docs, args.id_column, args.text_column, params, args.band_checkpoint)
     write_parquet(result.kept, args.output)
     if args.dump_pairs:
         write_pairs_csv(result.links, args.dump_pairs)
