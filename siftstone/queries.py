@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -11,21 +10,23 @@ from pyspark.sql import functions as F
 
 from siftstone.functions.bands import explode_bands
 from siftstone.functions.lsh import MASK_32, MERSENNE_61, optimal_bands, permutations
-from siftstone.functions.text import char_ngrams, fragment_shingles, normalized, token_hash32
+from siftstone.functions.text import PUNCTUATION, WORD_BREAK, char_ngrams, fragment_shingles, marked_first, normalized, token_hash32
 from siftstone.operators.components import connected_components, large_star, small_star
 from siftstone.operators.edges import distinct_pairs, star_edges
 from siftstone.operators.layout import spread
 from siftstone.operators.ranking import sequential_ids
-from siftstone.operators.scratch import shared_folder
+from siftstone.operators.scratch import scratch_path
 from siftstone.operators.skew import salted_key_stats
 from siftstone.params import PLAIN, STRIPPED, DedupParams
 from siftstone.plans import report
 from siftstone.plans.dedup import deduplicate, deduplicate_stripped, document_bands, drop_ids, removed_ids, with_signatures
-from siftstone.sources.tables import limited, preview_rows, read_documents, schema_rows, stored_or_computed, write_pairs_csv
+from siftstone.sources.tables import input_stamp, limited, preview_rows, read_documents, schema_rows, stored_or_computed, write_pairs_csv
 
 #: Fewer permutations than in production for the stages that SQL repeats value by value; FULL has them with all.
 SHORT = PLAIN.with_(num_perm=32)
 SHORT_STRIPPED = STRIPPED.with_(num_perm=32)
+#: What dedup_keep_ignoring deletes.
+IGNORED = "[ \t]*[0-9]+[ \t]*"
 SIZINGS = [(0.5, 128), (0.7, 16), (0.7, 32), (0.7, 64), (0.7, 128), (0.7, 256), (0.8, 128)]
 
 
@@ -74,7 +75,7 @@ def multi_path_read(spark, d):
 
 
 def jsonl_roundtrip(spark, d):
-    path = f"{shared_folder(spark)}/jsonl-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "jsonl")
     table(spark, d, "documents").select("doc_id", "text").write.json(path)
     return read_documents(spark, path, "jsonl", "doc_id").select("doc_id", F.md5("text").alias("text_md5"))
 
@@ -92,9 +93,9 @@ def text_normalized(spark, d):
 
 
 def char_ngram_counts(spark, d):
-    grams = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.explode(char_ngrams(F.lower("text"), 5)).alias("gram"))
-    once = grams.groupBy("gram", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return once.groupBy("gram").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_total"))
+    """Documents with an n-gram and its occurrences. A document's n-grams are sorted in place to mark the first of each, so one exchange, on the n-gram, is enough."""
+    grams = spread(table(spark, d, "documents").select("text")).select(F.explode(marked_first(char_ngrams(F.lower("text"), 5))).alias("g"))
+    return grams.groupBy(F.col("g.item").alias("gram")).agg(F.sum("g.first").alias("n_docs"), F.count(F.lit(1)).alias("n_total"))
 
 
 def punct_shingles(spark, d):
@@ -102,7 +103,7 @@ def punct_shingles(spark, d):
 
 
 def space_shingles(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.explode(fragment_shingles(F.lower("text"), 5, "[ \\n\\t\\r]+")).alias("shingle")).distinct()
+    return table(spark, d, "documents").select("doc_id", F.explode(fragment_shingles(F.lower("text"), 5, WORD_BREAK)).alias("shingle")).distinct()
 
 
 def token_hashes(spark, d):
@@ -136,10 +137,11 @@ def bands_from_signatures(spark, d, params=SHORT):
 
 
 def band_checkpoint_roundtrip(spark, d, params=SHORT):
-    path = f"{shared_folder(spark)}/bands-{uuid.uuid4().hex}"
-    make = partial(document_bands, table(spark, d, "documents"), "doc_id", "text", params)
-    stored_or_computed(spark, path, make)
-    return stored_or_computed(spark, path, make)
+    path = scratch_path(spark, "bands")
+    docs = table(spark, d, "documents")
+    make, stamp = partial(document_bands, docs, "doc_id", "text", params), input_stamp(docs, "doc_id")
+    stored_or_computed(spark, path, make, stamp)
+    return stored_or_computed(spark, path, make, stamp)
 
 
 def lsh_optimal_params(spark, d):
@@ -160,7 +162,7 @@ def band_star_edges(spark, d):
 
 
 def pairs_csv_roundtrip(spark, d):
-    path = f"{shared_folder(spark)}/pairs-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "pairs")
     write_pairs_csv(star_edges(table(spark, d, "bands")), path)
     return spark.read.csv(path, header=True, schema="src bigint, dst bigint")
 
@@ -213,7 +215,7 @@ def duplicate_ids(spark, d):
 
 
 def dedup_keep_stripped(spark, d):
-    kept = deduplicate_stripped(table(spark, d, "documents"))
+    kept = deduplicate_stripped(table(spark, d, "documents")).kept
     return kept.select("doc_id", F.md5("text").alias("text_md5"))
 
 
@@ -222,6 +224,46 @@ def dedup_keep_string_order(spark, d, params=SHORT):
     return deduplicate(docs, params=params.with_(id_order="string")).kept.select("doc_id")
 
 
+def dedup_keep_punctuation(spark, d):
+    """Signatures over runs of five fragments between punctuation marks."""
+    return deduplicate(table(spark, d, "documents"), params=PLAIN.with_(tokenizer="punctuation")).kept.select("doc_id")
+
+
+def dedup_keep_space(spark, d):
+    """Signatures over runs of five words."""
+    return deduplicate(table(spark, d, "documents"), params=PLAIN.with_(tokenizer="space")).kept.select("doc_id")
+
+
+def dedup_keep_ignoring(spark, d):
+    """Signatures over texts without numbers and the blanks around them."""
+    return deduplicate(table(spark, d, "documents"), params=PLAIN.with_(ignore_pattern=IGNORED)).kept.select("doc_id")
+
+
+def stripped_links(spark, d):
+    """Links that the stripped preset dumps."""
+    return deduplicate_stripped(table(spark, d, "documents")).links
+
+
+def stripped_cluster_sizes(spark, d):
+    return report.cluster_sizes(deduplicate_stripped(table(spark, d, "documents")).clusters)
+
+
+def glob_any_depth(spark, d):
+    """A glob with two stars matches at any depth, and what follows them counts."""
+    path = scratch_path(spark, "deep")
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    for part, inner in ((0, "x/keep"), (1, "y/z/keep"), (2, "x/other"), (3, "keep")):
+        docs.where(F.pmod("doc_id", F.lit(4)) == part).write.parquet(f"{path}/{inner}")
+    return read_documents(spark, f"{path}/**/keep/*.parquet", id_col="doc_id").select("doc_id", F.md5("text").alias("text_md5"))
+
+
+def partition_columns(spark, d):
+    """Folders named name=value keep that column, and a filter on it prunes folders."""
+    path = scratch_path(spark, "parts")
+    table(spark, d, "documents").select("doc_id", "text", F.coalesce(F.lower("lang"), F.lit("none")).alias("part")).write.partitionBy("part").parquet(path)
+    return read_documents(spark, path, id_col="doc_id").where("part IN ('en', 'none')").select("doc_id", "part")
+
+
 def dedup_metrics(spark, d):
     docs = table(spark, d, "documents")
     return report.metrics(docs, deduplicate(docs).removed)
@@ -266,6 +308,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         lsh_bands, lsh_bands_rawkey, bands_from_signatures, band_checkpoint_roundtrip, lsh_optimal_params,
         band_collisions, band_star_edges, pairs_csv_roundtrip, distinct_edges, large_star_step, small_star_step,
         components_of_edges, components_by_stars, components_of_orders, components_of_strings, band_clusters,
+        glob_any_depth, partition_columns, dedup_keep_punctuation, dedup_keep_space, dedup_keep_ignoring, stripped_links, stripped_cluster_sizes,
         dedup_keep, duplicate_ids, dedup_keep_stripped, dedup_keep_string_order, dedup_metrics, keep_by_stored_bands, cluster_sizes, cluster_samples,
         p5_key_stats, p5_found,
     )
@@ -278,9 +321,9 @@ QUERIES |= {f"{f.__name__}_full": partial(f, params=params) for f, params in FUL
 
 # ---- SQL
 
-PUNCT = r"[!-/:-@\[-`{-~]"
 LOWER = "lower(text)"
-STRIP = f"regexp_replace(lower(text), '{PUNCT}', '', 'g')"
+STRIP = f"regexp_replace(lower(text), '{PUNCTUATION}', '', 'g')"
+IGNORE = f"regexp_replace(lower(text), '{IGNORED}', '', 'g')"
 
 
 def _grams(text: str, n: int, ident: str = "doc_id", source: str = "documents") -> str:
@@ -291,11 +334,20 @@ def _grams(text: str, n: int, ident: str = "doc_id", source: str = "documents")
       WINDOW w AS (PARTITION BY {ident} ORDER BY i)"""
 
 
+def _shingles(pattern: str, n: int) -> str:
+    """(doc_id, gram): runs of n fragments between matches of the pattern."""
+    return f"""SELECT doc_id, array_to_string(ps[i:i+{n - 1}], ' ') AS gram FROM (
+      SELECT doc_id, ps, unnest(range(1, len(ps) - {n - 2})) AS i FROM (SELECT doc_id, regexp_split_to_array(lower(text), '{pattern}') AS ps FROM documents WHERE text IS NOT NULL))"""
+
+
 def _signature_ctes(params: DedupParams, text: str, ident: str = "doc_id", source: str = "documents") -> str:
     a, b = permutations(params.seed, params.num_perm)
+    pattern = {"punctuation": PUNCTUATION, "space": WORD_BREAK}.get(params.tokenizer)
+    grams = _shingles(pattern, params.ngram) if pattern else _grams(text, params.ngram, ident, source)
+    short = f"len(regexp_split_to_array({text}, '{pattern}'))" if pattern else f"length({text})"
     perms = ", ".join(f"({k}, {int(x)}, {int(y)})" for k, (x, y) in enumerate(zip(a, b)))
     return f"""perm(perm_id, a, b) AS (VALUES {perms}),
-    grams AS MATERIALIZED (SELECT DISTINCT {ident} AS id, gram FROM ({_grams(text, params.ngram, ident, source)}) WHERE gram IS NOT NULL),
+    grams AS MATERIALIZED (SELECT DISTINCT {ident} AS id, gram FROM ({grams}) WHERE gram IS NOT NULL),
     hashes AS MATERIALIZED (SELECT gram, ('0x' || substr(s,7,2) || substr(s,5,2) || substr(s,3,2) || substr(s,1,2))::BIGINT AS h
                FROM (SELECT DISTINCT gram, sha1(gram) AS s FROM grams)),
     permuted AS MATERIALIZED (SELECT h, perm_id, (((h::HUGEINT * a + b) % 18446744073709551616) % {MERSENNE_61} % {MASK_32 + 1})::BIGINT AS v
@@ -303,7 +355,7 @@ def _signature_ctes(params: DedupParams, text: str, ident: str = "doc_id", sourc
     sig AS MATERIALIZED (
       SELECT id, perm_id, min(v) AS v FROM grams JOIN hashes USING (gram) JOIN permuted USING (h) GROUP BY id, perm_id
       UNION ALL
-      SELECT {ident}, perm_id, {MASK_32} FROM {source}, perm WHERE text IS NOT NULL AND length({text}) < {params.ngram}),
+      SELECT {ident}, perm_id, {MASK_32} FROM {source}, perm WHERE text IS NOT NULL AND {short} < {params.ngram}),
     le AS (SELECT id, perm_id, printf('%02X%02X%02X%02X', v & 255, (v >> 8) & 255, (v >> 16) & 255, (v >> 24) & 255) AS x FROM sig),
     raw AS MATERIALIZED (SELECT id, (perm_id // {params.rows})::INT AS band_id, string_agg(x, '' ORDER BY perm_id) AS hex
             FROM le WHERE perm_id < {params.bands * params.rows} GROUP BY 1, 2),
@@ -350,8 +402,6 @@ def _sizing_sql() -> str:
 def oracle() -> dict[str, str]:
     stats = "SELECT band_id, band_hash, min(doc_id) AS min_doc_id, count(DISTINCT doc_id) AS n_docs FROM bands WHERE band_hash IS NOT NULL GROUP BY 1, 2"
     clusters = f"WITH RECURSIVE {_components_ctes(STARS)}"
-    shingles = """SELECT DISTINCT doc_id, array_to_string(ps[i:i+4], ' ') AS shingle FROM (
-      SELECT doc_id, ps, unnest(range(1, len(ps) - 3)) AS i FROM (SELECT doc_id, regexp_split_to_array(lower(text), '{}') AS ps FROM documents WHERE text IS NOT NULL))"""
     uid = "numbered AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS uid, doc_id, text FROM documents), "
     return {
         "scan_project": "SELECT doc_id, text FROM documents",
@@ -359,14 +409,24 @@ def oracle() -> dict[str, str]:
         "limit_by_id": "SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 50",
         "preview": """SELECT doc_id, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END AS text,
           CASE WHEN length(source) > 100 THEN substr(source, 1, 100) || '...' ELSE source END AS source FROM documents ORDER BY doc_id LIMIT 3""",
+        "schema_inspect": """SELECT (ordinal_position - 1)::INT AS position, column_name AS name,
+          CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE data_type END AS type,
+          is_nullable = 'YES' AS nullable FROM information_schema.columns WHERE table_name = 'documents'""",
+        "glob_any_depth": "SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE doc_id % 4 <> 2",
+        "partition_columns": "SELECT doc_id, coalesce(lower(lang), 'none') AS part FROM documents WHERE coalesce(lower(lang), 'none') IN ('en', 'none')",
+        "dedup_keep_punctuation": _dedup(PLAIN.with_(tokenizer="punctuation"), LOWER, "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT node FROM gone)"),
+        "dedup_keep_space": _dedup(PLAIN.with_(tokenizer="space"), LOWER, "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT node FROM gone)"),
+        "dedup_keep_ignoring": _dedup(PLAIN, IGNORE, "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT node FROM gone)"),
+        "stripped_links": f"WITH {_signature_ctes(STRIPPED, STRIP)} {BAND_STARS.format(key='raw_key').replace('m AS a, id AS b', 'm AS src, id AS dst')}",
+        "stripped_cluster_sizes": _dedup(STRIPPED, STRIP, "SELECT cluster_size, count(*) AS n_clusters FROM (SELECT root, count(*) AS cluster_size FROM cc GROUP BY root) GROUP BY 1", key="raw_key"),
         "glob_read": "SELECT doc_id, n_chars FROM documents",
         "multi_path_read": "SELECT doc_id, count(*) AS n_rows, count(text) AS n_texts FROM (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, NULL FROM sent_docs) GROUP BY doc_id",
         "jsonl_roundtrip": "SELECT doc_id, md5(text) AS text_md5 FROM documents",
         "sequential_uid": "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS uid FROM documents",
         "text_normalized": f"SELECT doc_id, md5({LOWER}) AS lower_md5, md5({STRIP}) AS stripped_md5 FROM documents",
         "char_ngram_counts": f"SELECT gram, count(*) AS n_docs, sum(n)::BIGINT AS n_total FROM (SELECT gram, doc_id, count(*) AS n FROM ({_grams(LOWER, 5)}) WHERE gram IS NOT NULL GROUP BY 1, 2) GROUP BY 1",
-        "punct_shingles": shingles.format(PUNCT),
-        "space_shingles": shingles.format("[ \\n\\t\\r]+"),
+        "punct_shingles": f"SELECT DISTINCT doc_id, gram AS shingle FROM ({_shingles(PUNCTUATION, 5)})",
+        "space_shingles": f"SELECT DISTINCT doc_id, gram AS shingle FROM ({_shingles(WORD_BREAK, 5)})",
         "token_hashes": f"""SELECT gram, ('0x' || substr(s,7,2) || substr(s,5,2) || substr(s,3,2) || substr(s,1,2))::BIGINT AS hash
           FROM (SELECT DISTINCT gram, sha1(gram) AS s FROM ({_grams(LOWER, 5)}) WHERE gram IS NOT NULL)""",
         "minhash_signature": f"WITH {_signature_ctes(SHORT, LOWER)} SELECT id AS doc_id, perm_id, v AS value FROM sig",

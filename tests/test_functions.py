@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from siftstone.functions.bands import explode_bands
 from siftstone.functions.lsh import MERSENNE_61, optimal_bands, permutations
 from siftstone.functions.minhash import permuted, signer
-from siftstone.functions.text import char_ngrams, fragment_shingles, normalized, preview, token_hash32
+from siftstone.functions.text import char_ngrams, fragment_shingles, marked_first, normalized, preview, token_hash32
 from siftstone.params import PLAIN, STRIPPED, DedupParams
 
 
@@ -103,3 +103,9 @@ def test_bands(spark):
     assert got == want
     raw = {r["band_id"]: r["band_key"] for r in explode_bands(df, "id", "m", 2, 2, raw=True).collect()}
     assert raw == {k: (k.to_bytes(4, "big") + np.array(sig[2 * k : 2 * k + 2], dtype="<u4").tobytes()).hex() for k in range(2)}
+
+
+def test_marked_first(spark):
+    df = spark.createDataFrame([(1, ["b", "a", "b", "b"]), (2, []), (3, None), (4, ["a"])], "i int, a array<string>").select("i", marked_first(F.col("a")).alias("m"))
+    got = {r["i"]: r["m"] and [tuple(x) for x in r["m"]] for r in df.collect()}
+    assert got == {1: [("a", 1), ("b", 1), ("b", 0), ("b", 0)], 2: [], 3: None, 4: [("a", 1)]}

@@ -134,3 +134,12 @@ def test_sequential_ids(spark):
     df = spark.createDataFrame([(x,) for x in [5, 3, 9, 1, 3]], "v long")
     got = sorted((r["uid"], r["v"]) for r in sequential_ids(df, "v", "uid").collect())
     assert got == [(0, 1), (1, 3), (2, 3), (3, 5), (4, 9)]
+
+
+def test_heavy_keys_are_exact(spark):
+    """The sketch only names candidates; counts and the limit are exact, null keys included."""
+    rows = [(k % 7, None) for k in range(700)] + [(100 + k, k) for k in range(20_000)] + [(None, None)] * 90 + [(8, 8)] * 21 + [(9, 9)] * 20
+    df = spark.createDataFrame(rows, "a int, b int").repartition(5)
+    got = {(r["a"], r["b"]): (r["key_rows"], r["all_rows"]) for r in heavy_keys(df, ["a", "b"], 0.001).collect()}
+    assert got == {(k, None): (100, 20831) for k in range(7)} | {(None, None): (90, 20831), (8, 8): (21, 20831)}
+    assert heavy_keys(df.limit(0), ["a", "b"]).count() == 0
