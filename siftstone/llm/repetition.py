@@ -12,7 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.units import letters_and_digits, window_hashes
+from siftstone.functions.windows import window_hashes
+from siftstone.llm.units import letters_and_digits
 from siftstone.operators.layout import spread
 
 WINDOW = 30

@@ -1,4 +1,4 @@
-"""Code points of texts as arrays, and what counts as a letter or digit."""
+"""What counts as a letter or digit."""
 
 from __future__ import annotations
 
@@ -6,10 +6,7 @@ from functools import lru_cache
 
 import numpy as np
 
-
-def code_points(text: str) -> np.ndarray:
-    """The text's code points (uint32)."""
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+from siftstone.functions.windows import code_points
 
 
 @lru_cache(maxsize=1)
@@ -22,41 +19,3 @@ def letters_and_digits(text: str) -> np.ndarray:
     """Code points of the letters and digits of a text, in order, without letter case."""
     codes = code_points(text.casefold())
     return codes[alphanumeric()[codes]]
-
-
-_M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser: each input bit reaches each output bit."""
-    x = x.copy()
-    x ^= x >> np.uint64(30)
-    x *= _M2
-    x ^= x >> np.uint64(27)
-    x *= _M3
-    x ^= x >> np.uint64(31)
-    return x
-
-
-def window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
-    """64-bit hashes of all windows of ``width`` neighbouring codes.
-
-    Hashes of windows of 1, 2, 4, ... codes come from those half as wide, and
-    the wanted width is put together from its binary digits: about
-    2*log2(width) array operations instead of width.
-    """
-    n = len(codes) - width + 1
-    if n <= 0:
-        return np.empty(0, dtype=np.uint64)
-    power = (codes.astype(np.uint64) + np.uint64(1)) * _M1
-    out, done, size = None, 0, 1
-    base = int(_M1)
-    while size <= width:
-        if width & size:
-            piece = power[done : done + n]
-            out = piece.copy() if out is None else out * np.uint64(pow(base, size, 1 << 64)) + piece
-            done += size
-        if size * 2 <= width:
-            power = power[:-size] * np.uint64(pow(base, size, 1 << 64)) + power[size:]
-        size *= 2
-    return mixed(out)

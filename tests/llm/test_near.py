@@ -1,6 +1,12 @@
+import math
 import random
 
-from siftstone.llm.near import gram_hashes, plan_bands, plan_rows, signatures, similar_groups, similar_pairs
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from siftstone.llm import near
+from siftstone.llm.near import SKETCH, SKETCH_ERRORS, _blocks, candidates, gram_hashes, minima, plan_bands, plan_rows, signatures, similar_groups, similar_pairs
 
 
 def grams(t):
@@ -93,3 +99,62 @@ def test_signatures_do_not_depend_on_batches(spark):
     df = spark.createDataFrame(corpus(2, 20), "doc_id long, text string")
     one = {r["doc_id"]: r["bands"] for r in signatures(df.coalesce(1), 10).collect()}
     assert one == {r["doc_id"]: r["bands"] for r in signatures(df.repartition(7), 10).collect()}
+
+
+@pytest.mark.parametrize("size", [1, 2, 40, 300, 5000])
+def test_minima_agree_as_often_as_sets_do(size):
+    draw = np.random.default_rng(size)
+    for share in (0.0, 0.5, 0.85):
+        got, want = [], []
+        for _ in range(60 if size < 5000 else 20):
+            both = round(size * share)
+            x = draw.integers(0, 1 << 63, 2 * size - both).astype(np.uint64)
+            one, two = x[:size], np.concatenate([x[:both], x[size:]])
+            low = minima([np.sort(one), np.sort(two)], 434)
+            got.append((low[0] == low[1]).mean()), want.append(both / (2 * size - both))
+        assert abs(np.mean(got) - np.mean(want)) < 0.02, (size, share)
+
+
+def test_minima_do_not_depend_on_company(monkeypatch):
+    draw = np.random.default_rng(5)
+    parts = [np.sort(draw.integers(0, 1 << 63, n).astype(np.uint64)) for n in (1, 7, 90, 2000, 9000)]
+    together = minima(parts, 300)
+    assert all((minima([p], 300)[0] == row).all() for p, row in zip(parts, together))
+    monkeypatch.setattr(near, "GROUP", 1000)  # arrays in pieces
+    assert (minima(parts, 300) == together).all()
+
+
+def test_the_sketch_loses_next_to_nothing():
+    """Chance that a pair just at the threshold has too few equal bytes in its sketch."""
+    least = math.ceil(SKETCH * (0.7 - SKETCH_ERRORS * math.sqrt(0.7 * 0.3 / SKETCH)))
+    p = 0.7 + 0.3 / 256
+    assert sum(math.comb(SKETCH, k) * p**k * (1 - p) ** (SKETCH - k) for k in range(least)) < 1e-4
+
+
+def test_blocks_bound_what_a_task_sees(spark):
+    """One key of 100,000 rows: each pair of blocks holds about ``block`` rows, and any two rows meet once."""
+    rows = spark.range(100_000).select(F.lit(7).cast("long").alias("key"), F.col("id").alias("doc_id"), F.lit(10).alias("grams"), F.lit(100_000).cast("long").alias("n"))
+    cut = _blocks(rows, "n", 4096)
+    per = cut.groupBy("key", "part").count().agg(F.max("count").alias("most"), F.count("*").alias("parts")).first()
+    assert per["most"] <= 4096 * 1.2 and per["parts"] == 49 * 50 // 2
+    assert cut.count() == 49 * 100_000
+
+
+@pytest.mark.parametrize("how", [{"block": 16}, {"block": 16, "hot_share": 0.2}, {"block": 100_000}])
+def test_candidates_of_a_hot_key(spark, how):
+    """A key with most rows, found by its share or only by its count, gives the pairs whose sizes fit."""
+    draw = random.Random(9)
+    sizes = [draw.randrange(10, 400) for _ in range(700)]
+    signed = spark.createDataFrame([(i, n, [-5, 100 + i // 2]) for i, n in enumerate(sizes)], "doc_id long, grams int, bands array<long>").repartition(3)
+    got = [(r["a"], r["b"]) for r in candidates(signed, 0.7, **how).collect()]
+    want = {(i, j) for i, x in enumerate(sizes) for j, y in enumerate(sizes[i + 1 :], i + 1) if min(x, y) >= 0.7 * max(x, y)}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_many_copies_are_expanded_in_blocks(spark):
+    text = "one page of which there are very many copies, all of them the same to the last mark"
+    rows = [(i, text) for i in range(60)] + [(100 + i, text + "!") for i in range(25)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_a"], r["doc_b"]) for r in similar_pairs(df, block=8).collect())
+    ids = sorted(i for i, _ in rows)
+    assert got == [(x, y) for k, x in enumerate(ids) for y in ids[k + 1 :]]

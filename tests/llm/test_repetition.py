@@ -1,7 +1,7 @@
 import random
 
 from siftstone.llm.repetition import repeated_units, repetition, repetitive
-from siftstone.llm.units import window_hashes
+from siftstone.functions.windows import window_hashes
 import numpy as np
 
 
