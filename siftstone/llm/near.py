@@ -317,7 +317,8 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         ids = written(texts.select("doc_id", F.unhex(F.sha2("text", 256)).alias("raw")), "ids")
     first = ids.groupBy("raw").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     members = written(lookup(ids, first, "raw", hot=counted_heavy(first, ["raw"], "copies")).select("rep", "doc_id", "copies"), "members")
-    distinct = texts.join(members.where("rep <> doc_id").select("doc_id"), "doc_id", "left_anti")
+    copies = written(members.where("rep <> doc_id").select("doc_id"), "copies")  # a table of known size: few ids are broadcast and the texts stay where they are
+    distinct = texts.join(copies, "doc_id", "left_anti")
     rows = rows or plan_rows(members.where("rep = doc_id").count())
     signed = written(signatures(spread(distinct), plan_bands(threshold, recall, rows), rows, n), "signatures")
     likely = written(_sketched(candidates(signed, threshold, block), signed.select("doc_id", "sketch"), threshold), "likely")
