@@ -148,8 +148,8 @@ def signatures(docs: DataFrame, bands: int, rows: int = ROWS, n: int = GRAM, see
     return docs.mapInArrow(run, "doc_id bigint, grams int, bands array<bigint>, sketch binary")
 
 
-#: Pairs that are given out in one go.
-FLUSH = 200_000
+#: Pairs that are given out in one go; rows of groups that are compared together with other small groups.
+FLUSH, FEW = 200_000, 48
 
 
 def _within(ids: np.ndarray, sizes: np.ndarray, threshold: float, side: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -189,8 +189,18 @@ def _group_pairs(threshold: float):
     def groups(key: np.ndarray, ids: np.ndarray, grams: np.ndarray, part: np.ndarray, side: np.ndarray):
         new = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1
         starts, ends = np.concatenate([[0], new]), np.concatenate([new, [len(key)]])
-        for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
+        few = (ends - starts <= FEW) & (side[starts] < 0)
+        for s, e in zip(starts[~few], ends[~few]):
             yield from _within(ids[s:e], grams[s:e], threshold, None if side[s] < 0 else side[s:e])
+        # small groups, all at once: each row meets the one after it, then the second after it, while the group lasts
+        end_of = np.repeat(np.where(few, ends, 0), ends - starts)
+        at, step = np.arange(len(key)), 1
+        while len(at := at[at + step < end_of[at]]):
+            x, y = grams[at], grams[at + step]
+            fits = at[np.minimum(x, y) >= threshold * np.maximum(x, y)]
+            for k in range(0, len(fits), FLUSH):
+                yield ids[fits[k : k + FLUSH]], ids[fits[k : k + FLUSH] + step]
+            step += 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail: list[np.ndarray] | None = None
