@@ -23,6 +23,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def unmixed(x: np.ndarray) -> np.ndarray:
+    """What ``mixed`` was made from; both are one-to-one."""
+    x = x ^ (x >> np.uint64(31)) ^ (x >> np.uint64(62))
+    x = x * np.uint64(pow(int(_MIX_2), -1, 1 << 64))
+    x = x ^ (x >> np.uint64(27)) ^ (x >> np.uint64(54))
+    x = x * np.uint64(pow(int(_MIX_1), -1, 1 << 64))
+    return x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))
+
+
 def window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
     """64-bit hashes of all windows of ``width`` neighbouring codes; equal windows have equal hashes. Empty for shorter input.
 

@@ -109,3 +109,12 @@ def test_marked_first(spark):
     df = spark.createDataFrame([(1, ["b", "a", "b", "b"]), (2, []), (3, None), (4, ["a"])], "i int, a array<string>").select("i", marked_first(F.col("a")).alias("m"))
     got = {r["i"]: r["m"] and [tuple(x) for x in r["m"]] for r in df.collect()}
     assert got == {1: [("a", 1), ("b", 1), ("b", 0), ("b", 0)], 2: [], 3: None, 4: [("a", 1)]}
+
+
+def test_mixing_can_be_undone():
+    import numpy as np
+
+    from siftstone.functions.windows import mixed, unmixed
+
+    x = np.concatenate([np.random.default_rng(1).integers(0, 1 << 64, 5000, dtype=np.uint64), np.array([0, 1, (1 << 64) - 1], dtype=np.uint64)])
+    assert (unmixed(mixed(x)) == x).all() and (mixed(unmixed(x)) == x).all()
