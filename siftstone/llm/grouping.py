@@ -1,10 +1,12 @@
 """One group identifier for all records linked directly or in chains.
 
 Union-find runs inside each partition of the links and leaves a spanning
-forest; forests merge level by level through partitions of bounded size.
-Between levels every record seen by one partition only, as a leaf, is put
-aside with a pointer to its root, so a level holds only records that several
-partitions share. Pointers are resolved from the top level down.
+forest; forests merge level by level through partitions of bounded size. Between
+levels a shuffle brings the rows of a record together: a record that several
+forests put under different roots links those roots, and a record that is no
+root anywhere is put aside with a pointer to its least root. So a level holds
+only roots, and no level needs a task that holds a whole component. Pointers
+are resolved from the top level down.
 """
 
 from __future__ import annotations
@@ -12,21 +14,25 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftstone.functions.unionfind import union_find
-from siftstone.operators.components import connected_components
+from siftstone.functions.windows import mixed, unmixed
+from siftstone.operators.components import NotConverged
 from siftstone.operators.scratch import release, written
-from siftstone.operators.skew import lookup
+from siftstone.operators.skew import counted_heavy, lookup
 
 #: Links that one task of a merging level may hold: some 200 MB of arrays while it works.
 PARTITION_LINKS = 2_000_000
+#: Each level takes away a constant share of the records on average, so this is never reached; if it is, the call raises.
+MAX_LEVELS = 100
 
 
-def _forests(most: int):
-    """Each partition's links, read in batches, become spanning forests of at most about ``most`` links.
+def _forests(most: int, mix: bool = False):
+    """Each partition's links, read in batches, become spanning forests of at most about ``most`` links; with ``mix`` ids are mixed first.
 
     What is held is reduced whenever it passes the bound; a forest that is still
     larger is given out and a new one begun. So memory is bounded whatever the
@@ -44,7 +50,8 @@ def _forests(most: int):
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
         for batch in batches:
-            held.append((batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)))
+            ends = tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            held.append(tuple(mixed(x.view(np.uint64)).view(np.int64) for x in ends) if mix else ends)
             size += batch.num_rows
             if size > most:
                 held = [reduced(held)]
@@ -58,62 +65,72 @@ def _forests(most: int):
     return run
 
 
-def _split_leaves(forest: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows whose node stands nowhere else, all other rows)."""
-    seen = forest.select(F.explode(F.array("node", "root")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("__times"))
-    marked = forest.join(seen, "node")
-    return marked.where("__times = 1").drop("__times"), marked.where("__times > 1").drop("__times")
-
-
-def components(links: DataFrame, a: str = "a", b: str = "b", partition_links: int = PARTITION_LINKS, fan_in: int = 16) -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", partition_links: int = PARTITION_LINKS, levels: list[int] | None = None) -> DataFrame:
     """(component, node): one row for each record that occurs in a link with both ends present.
 
     ``component`` is the least record of the group; that record has a row too.
     Ids are bigints. Links with a null end are left out, a link of a record with
     itself makes the record appear, repeated and reversed links change nothing,
-    an empty table gives none. Other columns are ignored.
-
-    Should the records shared between partitions ever be too many for merging by
-    ``fan_in`` within ``partition_links``, the rest, already reduced to forests
-    without leaves, is finished by the core's star contraction, which needs no
-    partition to hold a whole component.
+    an empty table gives none. Other columns are ignored. ``levels``, a list, is
+    given the number of links of each level.
+
+    Inside, ids are mixed by a one-to-one function, so roots are least in a random
+    order: whatever the graph and the numbering, each level takes away a constant
+    share of its records on average (a third of a long path). The last level fits one
+    partition and leaves nothing. The least id of each group is found at the end
+    by partial minima.
     """
     ends = links.select(F.col(a).cast("bigint").alias("node"), F.col(b).cast("bigint").alias("root")).dropna()
     alone = ends.where("node = root").select("node").distinct()
-    forest = written(ends.where("node <> root").mapInArrow(_forests(partition_links), "node bigint, root bigint"), "forest")
-    parts = forest.rdd.getNumPartitions()
+    now, parts = ends.where("node <> root"), 0
     pointers: list[DataFrame] = []
-    while True:  # each level has fewer partitions than the one before
-        leaves, rest = _split_leaves(forest)
-        pointers.append(written(leaves, "leaves"))
-        now = written(rest, "shared")
-        release(forest)
-        left = now.count()
-        if left == 0:
-            top = now.select("node", "root")
+    for _ in range(MAX_LEVELS):
+        source = now.coalesce(parts) if parts else now
+        forest = written(source.mapInArrow(_forests(partition_links, mix=not parts), "node bigint, root bigint"), "forest")
+        if parts == 1:  # one forest: every record has one root, and no root is under another
+            pointers.append(forest)
             break
-        if left <= partition_links:
-            top = written(now.coalesce(1).mapInArrow(_forests(partition_links), "node bigint, root bigint"), "top")
+        by_node = Window.partitionBy("node")
+        ranked = written(forest.select("node", "root", F.min("root").over(by_node).alias("least"), F.row_number().over(by_node.orderBy("root")).alias("k")), "ranked")
+        roots = forest.select(F.col("root").alias("node")).distinct().withColumn("higher", F.lit(True))
+        marked = written(ranked.where("k = 1").select("node", F.col("least").alias("root")).join(roots, "node", "left"), "marked")
+        pointers.append(marked.where("higher IS NULL").select("node", "root"))
+        between = ranked.where("root <> least").select(F.col("root").alias("node"), F.col("least").alias("root"))
+        after = written(between.unionByName(marked.where("higher").select("node", "root")).distinct(), "shared")
+        release(ranked), release(forest)
+        if parts:
+            release(now)
+        now, left = after, after.count()
+        if levels is not None:
+            levels.append(left)
+        if not left:
             break
-        fewer = max(1, -(-left // partition_links), parts // fan_in)
-        if fewer >= parts:
-            top = connected_components(now, "node", "root").where("node <> root")
-            break
-        parts = fewer
-        forest = written(now.coalesce(parts).mapInArrow(_forests(partition_links), "node bigint, root bigint"), "forest")
-    labels = _with_roots(top)
+        parts = -(-left // partition_links)
+    else:
+        raise NotConverged(f"links are left after {MAX_LEVELS} levels")
+    labels: list[DataFrame] = []  # a table a level, from the top down; lower levels look up in all above
     for below in reversed(pointers):
-        known = lookup(below.select(F.col("node").alias("leaf"), "root"), labels.select(F.col("node").alias("root"), F.col("root").alias("higher")), "root", how="left")
-        new = known.select(F.col("leaf").alias("node"), F.coalesce("higher", "root").alias("root"))
-        tops = below.select(F.col("root").alias("node")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("root"))
-        labels = written(labels.unionByName(new).unionByName(tops), "labels")
-    lone = alone.join(labels, "node", "left_anti").select("node", F.col("node").alias("root"))
-    return labels.unionByName(lone).select(F.col("root").alias("component"), "node")
-
-
-def _with_roots(forest: DataFrame) -> DataFrame:
-    """Star rows and a row to itself for each root."""
-    return forest.unionByName(forest.select(F.col("root").alias("node")).distinct().select("node", F.col("node").alias("root")))
+        if labels:
+            known = labels[0]
+            for more in labels[1:]:
+                known = known.unionByName(more)
+            below = lookup(below, known.select(F.col("node").alias("root"), F.col("root").alias("higher")), "root", how="left").select("node", F.coalesce("higher", "root").alias("root"))
+            below = written(below, "labels")
+        labels.append(below)
+    placed = labels[0]
+    for more in labels[1:]:
+        placed = placed.unionByName(more)
+
+    @F.pandas_udf("bigint")
+    def real(x: pd.Series) -> pd.Series:
+        return pd.Series(unmixed(x.to_numpy(np.int64).view(np.uint64)).view(np.int64))
+
+    tops = placed.select("root").distinct().select(F.col("root").alias("node"), "root")
+    every = written(placed.unionByName(tops).select(real("node").alias("node"), "root"), "members")
+    least = written(every.groupBy("root").agg(F.min("node").alias("component"), F.count(F.lit(1)).alias("__n")), "least")
+    found = lookup(every, least.drop("__n"), "root", hot=counted_heavy(least, ["root"], "__n")).select("component", "node")
+    lone = alone.join(every, "node", "left_anti").select(F.col("node").alias("component"), "node")
+    return found.unionByName(lone)
 
 
 def record_number(name: str) -> Column:

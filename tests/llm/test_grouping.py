@@ -51,11 +51,19 @@ GRAPHS = {
 @pytest.mark.parametrize("name", GRAPHS)
 @pytest.mark.parametrize("bound", [1_000_000, 50])
 def test_components(spark, name, bound):
-    """A bound of 50 links a partition forces several levels and, in the end, star contraction."""
+    """A bound of 50 links a partition forces several levels."""
     df = spark.createDataFrame([(*x, "extra") for x in GRAPHS[name]], "a long, b long, node string").repartition(9)
-    got = components(df, partition_links=bound, fan_in=2).collect()
+    levels = []
+    got = components(df, partition_links=bound, levels=levels).collect()
     want = roots_of(GRAPHS[name])
     assert len(got) == len(want) and {r["node"]: r["component"] for r in got} == want
+    assert len(levels) <= 12 and levels == sorted(levels, reverse=True)
+
+
+def test_ids_of_any_size(spark):
+    links = [(-5, 7), (7, -(2**63)), (2**63 - 1, 0), (3, 3)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {-5: -(2**63), 7: -(2**63), -(2**63): -(2**63), 2**63 - 1: 0, 0: 0, 3: 3}
 
 
 def test_record_numbers(spark):
