@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-_FACTOR, _MIX_1, _MIX_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: Base of the window hashes and the two factors of the finaliser.
+FACTOR, MIX_1, MIX_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def code_points(text: str) -> np.ndarray:
@@ -16,9 +17,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: each input bit reaches each output bit."""
     x = x.copy()
     x ^= x >> np.uint64(30)
-    x *= _MIX_1
+    x *= MIX_1
     x ^= x >> np.uint64(27)
-    x *= _MIX_2
+    x *= MIX_2
     x ^= x >> np.uint64(31)
     return x
 
@@ -26,9 +27,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def unmixed(x: np.ndarray) -> np.ndarray:
     """What ``mixed`` was made from; both are one-to-one."""
     x = x ^ (x >> np.uint64(31)) ^ (x >> np.uint64(62))
-    x = x * np.uint64(pow(int(_MIX_2), -1, 1 << 64))
+    x = x * np.uint64(pow(int(MIX_2), -1, 1 << 64))
     x = x ^ (x >> np.uint64(27)) ^ (x >> np.uint64(54))
-    x = x * np.uint64(pow(int(_MIX_1), -1, 1 << 64))
+    x = x * np.uint64(pow(int(MIX_1), -1, 1 << 64))
     return x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))
 
 
@@ -42,9 +43,9 @@ def window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
     n = len(codes) - width + 1
     if n <= 0:
         return np.empty(0, dtype=np.uint64)
-    power = (codes.astype(np.uint64) + np.uint64(1)) * _FACTOR
+    power = (codes.astype(np.uint64) + np.uint64(1)) * FACTOR
     out, done, size = None, 0, 1
-    base = int(_FACTOR)
+    base = int(FACTOR)
     while size <= width:
         if width & size:
             piece = power[done : done + n]
