@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftstone.functions.windows import FACTOR, MIX_1, MIX_2
 from siftstone.llm.grouping import components, record_number
 from siftstone.llm.layout import copies_by_layout, equal_contents
 from siftstone.llm.mixing import mix
 from siftstone.llm.near import similar_groups, similar_pairs
 from siftstone.llm.packing import fills, pack
-from siftstone.llm.repetition import repetition, repetitive
+from siftstone.llm.repetition import BINS, SMOOTHING, WINDOW, likelihood_ratios, repetition, repetitive
 from siftstone.llm.sentences import sentence_units
 
 
@@ -28,6 +29,12 @@ def p1_share(spark, d):
     return repetition(table(spark, d, "documents"))
 
 
+def p1_llr(spark, d):
+    """Score of every text that has n-grams, and whether it reaches the threshold."""
+    found = likelihood_ratios(table(spark, d, "documents")).where("n_windows > 0")
+    return found.select("doc_id", "n_windows", F.round("llr", 6).alias("llr"), "flagged")
+
+
 def p2_found(spark, d):
     edges = table(spark, d, "edges").select(F.col("src").alias("a"), F.col("dst").alias("b"))
     forest = table(spark, d, "components").select(record_number("node").alias("a"), record_number("parent").alias("b"))
@@ -84,12 +91,33 @@ def p8_counts(spark, d):
     return units.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences"), F.avg(F.col("end_char") - F.col("start_char")).alias("mean_chars"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_share, p2_found, p3_found, p3_groups, p4_found, p4_contents, p6_containers, p6_fill, p7_drawn, p7_shares, p8_found, p8_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_share, p1_llr, p2_found, p3_found, p3_groups, p4_found, p4_contents, p6_containers, p6_fill, p7_drawn, p7_shares, p8_found, p8_counts)}
 
 
 # ---- SQL
 
 
+def _ratio_sql(letters: str) -> str:
+    """p1_llr from the texts: the window hash and its finaliser in 128-bit arithmetic, classes, both multinomials, scores."""
+    whole, classes = 1 << 64, BINS + 1
+    powers = [pow(int(FACTOR), WINDOW - k, whole) for k in range(WINDOW)]
+    window = " + ".join(f"{'v' if not k else f'lead(v, {k}) OVER w'} * {p}::UHUGEINT" for k, p in enumerate(powers))
+    return f"""WITH t AS (SELECT doc_id, {letters} AS cs FROM documents WHERE text IS NOT NULL),
+      u AS (SELECT doc_id, (unicode(unnest(cs)) + 1)::UHUGEINT AS v, generate_subscripts(cs, 1) AS i FROM t),
+      h AS (SELECT doc_id, i, (({window}) % {whole}::UHUGEINT)::UBIGINT AS x FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+      m1 AS (SELECT doc_id, i, ((xor(x, x >> 30)::UHUGEINT * {int(MIX_1)}::UHUGEINT) % {whole}::UHUGEINT)::UBIGINT AS x FROM h WHERE x IS NOT NULL),
+      m2 AS (SELECT doc_id, i, ((xor(x, x >> 27)::UHUGEINT * {int(MIX_2)}::UHUGEINT) % {whole}::UHUGEINT)::UBIGINT AS x FROM m1),
+      e AS MATERIALIZED (SELECT doc_id, xor(x, x >> 31) % {BINS} AS bin, row_number() OVER (PARTITION BY doc_id, x ORDER BY i) > 1 AS again FROM m2),
+      d AS MATERIALIZED (SELECT doc_id, count(*) AS n_windows, count(*) FILTER (again) AS n_again FROM e GROUP BY doc_id),
+      s AS (SELECT sum(n_windows) AS raw, sum(n_again) AS again, sum(n_windows) FILTER (n_again = 0) AS target FROM d),
+      c AS (SELECT ln((raw - again + {SMOOTHING}) / (raw + {SMOOTHING * classes})) - ln((target + {SMOOTHING}) / (target + {SMOOTHING * classes})) AS common, raw, target FROM s),
+      r AS (SELECT bin, ln((count(*) + {SMOOTHING}) / (any_value(raw) + {SMOOTHING * classes})) - ln({SMOOTHING} / (any_value(target) + {SMOOTHING * classes})) AS ratio FROM e, c WHERE again GROUP BY bin),
+      l AS (SELECT doc_id, sum(ratio - common) AS more FROM e JOIN r USING (bin), c WHERE again GROUP BY doc_id),
+      low AS (SELECT min(ratio) AS low FROM r),
+      z AS (SELECT doc_id, n_windows, common + coalesce(more, 0) / n_windows AS llr, common + 0.3::DOUBLE / {WINDOW} * (low - common) - 1e-9 AS threshold FROM d LEFT JOIN l USING (doc_id), c, low)
+      SELECT doc_id, n_windows, round(llr, 6) AS llr, llr >= threshold AS flagged FROM z"""
+
+
 def oracle() -> dict[str, str]:
     letters = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]')"
     window = " || ".join(["c", *(f"lead(c, {k}) OVER w" for k in range(1, 30))])
@@ -137,6 +165,7 @@ def oracle() -> dict[str, str]:
         "p1_found": f"{share} SELECT doc_id FROM n WHERE n_repeated >= 0.30 * n_units AND n_units > 0",
         "p1_share": f"""{share} SELECT d.doc_id, CASE WHEN text IS NOT NULL THEN coalesce(n_units, 0) END AS n_units, CASE WHEN text IS NOT NULL THEN coalesce(n_repeated, 0) END AS n_repeated,
           CASE WHEN text IS NOT NULL THEN coalesce(n_repeated / n_units, 0.0) END::DOUBLE AS repeated_share FROM documents d LEFT JOIN n USING (doc_id)""",
+        "p1_llr": _ratio_sql(letters),
         "p3_found": f"{similar} SELECT doc_a, doc_b FROM pair",
         "p3_groups": groups,
         "p4_found": f"{contents} SELECT first_doc, doc_id FROM first WHERE first_doc < doc_id",
