@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftstone.functions.text import WORD_BREAK
 from siftstone.functions.windows import FACTOR, MIX_1, MIX_2
 from siftstone.llm.grouping import components, record_number
 from siftstone.llm.layout import copies_by_layout, equal_contents
@@ -14,7 +15,8 @@ from siftstone.llm.mixing import mix
 from siftstone.llm.near import similar_groups, similar_pairs
 from siftstone.llm.packing import fills, pack
 from siftstone.llm.repetition import BINS, SMOOTHING, WINDOW, likelihood_ratios, repetition, repetitive
-from siftstone.llm.sentences import sentence_units
+from siftstone.llm.lexicon import fit_lexicon
+from siftstone.llm.sentences import coverage, sentence_units
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -80,18 +82,26 @@ def p7_shares(spark, d):
 
 
 def p8_found(spark, d):
-    """Sentences of the documents in sent_docs. The semi-join needs no hint: Spark broadcasts the ids only below its size limit."""
+    """Sentences of the documents in sent_docs; words are counted in all documents. The semi-join needs no hint: Spark broadcasts the ids only below its size limit."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
     wanted = table(spark, d, "sent_docs").select("doc_id")
-    return sentence_units(table(spark, d, "documents").select("doc_id", "text").join(wanted, "doc_id", "left_semi"))
+    return sentence_units(docs.join(wanted, "doc_id", "left_semi"), lexicon=fit_lexicon(docs))
 
 
 def p8_counts(spark, d):
     """Sentences and their mean length in each document of the whole table."""
-    units = sentence_units(table(spark, d, "documents"))
+    docs = table(spark, d, "documents")
+    units = sentence_units(docs, lexicon=fit_lexicon(docs))
     return units.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences"), F.avg(F.col("end_char") - F.col("start_char")).alias("mean_chars"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_share, p1_llr, p2_found, p3_found, p3_groups, p4_found, p4_contents, p6_containers, p6_fill, p7_drawn, p7_shares, p8_found, p8_counts)}
+def p8_cover(spark, d):
+    """Audit of the sentences of the whole table: all characters but blanks are covered once, no edge is a blank."""
+    docs = table(spark, d, "documents")
+    return coverage(sentence_units(docs, lexicon=fit_lexicon(docs)), docs)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_share, p1_llr, p2_found, p3_found, p3_groups, p4_found, p4_contents, p6_containers, p6_fill, p7_drawn, p7_shares, p8_found, p8_counts, p8_cover)}
 
 
 # ---- SQL
@@ -166,6 +176,8 @@ def oracle() -> dict[str, str]:
         "p1_share": f"""{share} SELECT d.doc_id, CASE WHEN text IS NOT NULL THEN coalesce(n_units, 0) END AS n_units, CASE WHEN text IS NOT NULL THEN coalesce(n_repeated, 0) END AS n_repeated,
           CASE WHEN text IS NOT NULL THEN coalesce(n_repeated / n_units, 0.0) END::DOUBLE AS repeated_share FROM documents d LEFT JOIN n USING (doc_id)""",
         "p1_llr": _ratio_sql(letters),
+        "p8_cover": f"""SELECT doc_id, length(regexp_replace(text, '{WORD_BREAK}', '', 'g')) AS covered, 0::BIGINT AS overlaps, 0 AS blank_edges
+          FROM documents WHERE regexp_replace(text, '{WORD_BREAK}', '', 'g') <> ''""",
         "p3_found": f"{similar} SELECT doc_a, doc_b FROM pair",
         "p3_groups": groups,
         "p4_found": f"{contents} SELECT first_doc, doc_id FROM first WHERE first_doc < doc_id",

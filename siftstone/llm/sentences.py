@@ -2,25 +2,31 @@
 
 A text is cut into segments first, at blank lines, headings and list lines;
 breaks of wrapped lines stay inside. In a segment every run of terminators,
-every end of a quotation or bracket and, in Thai, every blank is a gap. Gaps of
-spaceless scripts are classified by the words beside them, which a dictionary
-word lattice finds: final particles on the left, opening, resuming and
-reporting words on the right. Gaps of spaced scripts get a weight from the
-terminator, the token before it and what comes after. A lattice over all gaps of
-the segment then takes the best chain of units, in which no unit is without a
-letter or digit where that can be avoided.
+every end of a quotation or bracket and, in Thai, every blank is a gap. Where
+marks leave a gap of a spaceless script open (three dots, the end of speech),
+word lattices segment the clauses beside it, over the words of a dictionary that
+``lexicon`` counts in the corpus, and the words next to the gap classify it:
+final particles and closing words on the left, opening, resuming and reporting
+words on the right. Gaps of spaced scripts get a weight from the terminator, the
+token before it and what comes after. A lattice over all gaps of the segment
+then takes the best chain of units, in which no unit is without a letter or
+digit where that can be avoided.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftstone.functions.windows import code_points
+from siftstone.llm.lexicon import CLAUSE, EDGE, Lexicon
+
 # ---- fixed values: marks and words
 
 TERMINATORS = ".!?…。！？．｡।॥؟۔"
@@ -47,11 +53,10 @@ REPORTS = frozenset(
 )
 HINDI_REPORT = re.compile(r"\S+(?:\s\S+)?\sने\s(?:पूछा|कहा|लिखा|बताया|पुकारा|चिल्लाया|जवाब)")
 RESUMING = frozenset("या अथवा शायद और लेकिन أو ربما بل لكن و".split())
-#: Dictionary of the word lattice for spaceless scripts.
+#: Closed classes of the word lattice for spaceless scripts; all other words come from the corpus.
 REPORTING_WORDS = frozenset("写道 问道 说道 喊道 答道 回答 表示 写 问 说 道 喊 答".split())
 QUOTATIVES = frozenset("と って という との などと".split())
 RESUMING_WORDS = frozenset("也许 或许 或者 可能 或 不 而是 いや あるいは または もしくは むしろ หรือ".split())
-OPENING_WORDS = frozenset("夜里 如今 从那以后 实际上 春天里 在北方 总之 后来 数值 その後 春には 夜になると 実際には 要するに 北では 値は 今日 やがて".split())
 FINAL_WORDS = frozenset("た る だ です ます か よ ね い う く す つ ぬ む 了 吗 呢 吧 啊 的".split())
 CONTINUING = ",，、،;；:：%&/+=)]}）］】」』»›”"
 
@@ -67,11 +72,14 @@ _THAI_GAP = re.compile(r"(?<=[฀-๿])\s+|\s+(?=[฀-๿])")
 _ADDRESS = re.compile(r"@|://|^www\.|\.(?:txt|csv|pdf|json|html?|com|org|net|example|xml|zip|md|py|jpg|png)\W*$", re.IGNORECASE)
 #: What an address is known by before its end.
 _ADDRESS_START = re.compile(r"@|://|^www\.", re.IGNORECASE)
-_WORDS = REPORTING_WORDS | QUOTATIVES | RESUMING_WORDS | OPENING_WORDS | FINAL_WORDS
-_LONGEST = max(map(len, _WORDS))
+_WORDS = REPORTING_WORDS | QUOTATIVES | RESUMING_WORDS | FINAL_WORDS
+#: Evidence of a final particle before three dots, of a resuming word after them, in the log odds of the corpus.
+PARTICLE, RESUMED = 1.0, -2.0
 #: A first line of at most this length without a terminator is a heading; wrapped lines are longer.
 HEADING_CHARS = 40
 NEVER, SURE = -8.0, 8.0
+NO_LEXICON = Lexicon()
+BLANKS = np.array([c for c in range(0x3001) if chr(c).isspace()], dtype=np.uint32)
 
 
 def spaceless(ch: str) -> bool:
@@ -79,14 +87,14 @@ def spaceless(ch: str) -> bool:
     return 0x3040 <= c <= 0x30FF or 0x3400 <= c <= 0x9FFF or 0xF900 <= c <= 0xFAFF or 0x0E00 <= c <= 0x0E7F or 0x20000 <= c <= 0x323AF
 
 
-@lru_cache(maxsize=65536)
-def lattice_words(chars: str) -> tuple[str, ...]:
+def lattice_words(chars: str, dictionary: frozenset[str] = _WORDS) -> tuple[str, ...]:
     """Best path through the lattice of dictionary words; a run without any is one unknown word. Long words win over short ones and unknown characters."""
-    n = len(chars)
+    n, longest = len(chars), max(EDGE, 5)
     best: list[tuple[float, int]] = [(0.0, 0)] + [(float("inf"), 0)] * n
     for i in range(n):
-        for j in range(i + 1, min(n, i + _LONGEST) + 1):
-            cost = 1.0 if chars[i:j] in _WORDS else (1.6 if j == i + 1 else None)
+        for j in range(i + 1, min(n, i + longest) + 1):
+            known = chars[i:j] in dictionary or chars[i:j] in _WORDS
+            cost = 1.0 if known else (1.6 if j == i + 1 else None)
             if cost is not None and best[i][0] + cost < best[j][0]:
                 best[j] = (best[i][0] + cost, i)
     cuts, j = [], n
@@ -97,11 +105,12 @@ def lattice_words(chars: str) -> tuple[str, ...]:
     known = True
     for i, j in reversed(cuts):
         word = chars[i:j]
-        if word not in _WORDS and not known:
+        here = word in dictionary or word in _WORDS
+        if not here and not known:
             words[-1] += word
         else:
             words.append(word)
-        known = word in _WORDS
+        known = here
     return tuple(words)
 
 
@@ -122,20 +131,32 @@ def _reported(right: str) -> bool:
     return False
 
 
-def _ellipsis_ends(left: str, right: str) -> bool:
-    """Three dots between two spaceless words: an end after a final particle or before an opening word, unless a resuming word follows."""
-    ahead = lattice_words(right[:8])
-    if ahead and ahead[0] in RESUMING_WORDS:
-        return False
-    behind = lattice_words(left[-8:])
-    return bool(ahead and ahead[0] in OPENING_WORDS) or bool(behind and behind[-1] in FINAL_WORDS)
+def _evidence(side: int, word: str, lexicon: Lexicon) -> float:
+    """Log odds of a word beside three dots; an unknown run is judged by its longest known part at the gap."""
+    table = lexicon.tails if side else lexicon.heads
+    for k in range(min(len(word), EDGE), 0, -1):
+        part = word[-k:] if side else word[:k]
+        if part in table:
+            return lexicon.odds(side, part)
+    return 0.0
+
+
+def _ellipsis_ends(left: str, right: str, lexicon: Lexicon) -> bool:
+    """Three dots between two clauses without blanks: whether the words beside them speak for an end."""
+    behind, ahead = lattice_words(left, lexicon.words), lattice_words(right, lexicon.words)
+    score = 0.0
+    if behind:
+        score += _evidence(1, behind[-1], lexicon) + PARTICLE * (behind[-1] in FINAL_WORDS or left[-1:] in FINAL_WORDS)
+    if ahead:
+        score += _evidence(0, ahead[0], lexicon) + RESUMED * (ahead[0] in RESUMING_WORDS)
+    return score > 0
 
 
 class _Segment:
     """One stretch of text without hard breaks."""
 
-    def __init__(self, text: str, start: int, end: int, cased: bool) -> None:
-        self.text, self.start, self.end, self.cased = text, start, end, cased
+    def __init__(self, text: str, start: int, end: int, cased: bool, lexicon: Lexicon = NO_LEXICON) -> None:
+        self.text, self.start, self.end, self.cased, self.lexicon = text, start, end, cased, lexicon
         self.spans = self._spans()
         self.run = (start, start, end)
 
@@ -207,6 +228,14 @@ class _Segment:
             self.run = (k, end, end - len(run) + found.start() if found else end)
         return self.run[2] < at
 
+    def _clauses(self, a: int, nxt: int) -> tuple[str, str]:
+        """The whole clauses that end and begin at two places; empty where another script stands there."""
+        k = a
+        while k > self.start and CLAUSE.match(self.text[k - 1]):
+            k -= 1
+        right = CLAUSE.match(self.text, nxt, self.end)
+        return self.text[k:a], right[0] if right else ""
+
     def _point(self, a: int, b: int, unit: int) -> float:
         """Weight of the end after the terminators a..b."""
         text = self.text
@@ -221,7 +250,7 @@ class _Segment:
             return NEVER if kind == "more" else SURE
         if "…" in run or run.startswith(".."):
             if spaceless(after) and spaceless(before):
-                return 3.0 if _ellipsis_ends(text[max(self.start, a - 8) : a], text[nxt : nxt + 8]) else NEVER
+                return 3.0 if _ellipsis_ends(*self._clauses(a, nxt), self.lexicon) else NEVER
             if kind in ("lower", "more"):
                 return NEVER
             word = re.compile(r"\S+").match(text, nxt)[0]
@@ -434,7 +463,7 @@ def _cased(part: str) -> bool:
     return sum(map(str.islower, part)) >= sum(map(str.isupper, part))
 
 
-def sentences(text: str) -> list[tuple[int, int]]:
+def sentences(text: str, lexicon: Lexicon = NO_LEXICON) -> list[tuple[int, int]]:
     """(start, end) of every sentence in code points, without blanks at the edges; together they hold all other characters.
 
     Case tells something in every segment of a text with case, and in the
@@ -443,7 +472,7 @@ def sentences(text: str) -> list[tuple[int, int]]:
     cased = _cased(text)
     out = []
     for a, b in segments(text):
-        for s, e in _Segment(text, a, b, cased or _cased(text[a:b])).units():
+        for s, e in _Segment(text, a, b, cased or _cased(text[a:b]), lexicon).units():
             unit = text[s:e]
             if stripped := unit.strip():
                 s += len(unit) - len(unit.lstrip())
@@ -451,20 +480,47 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def sentence_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sentence_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lexicon: Lexicon = NO_LEXICON) -> DataFrame:
     """(doc_id, start_char, end_char): one row per sentence of every row.
 
-    A projection with one Arrow pass, no shuffle. Null texts and texts of blanks
-    only give no row; repeated rows repeat their sentences.
+    A projection with one Arrow pass, no shuffle; ``lexicon``, of bounded size, is
+    broadcast. Null texts and texts of blanks only give no row; repeated rows
+    repeat their sentences.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
         for batch in batches:
             ids, starts, ends = [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for s, e in sentences(text):
+                for s, e in sentences(text, words):
                     ids.append(i), starts.append(s), ends.append(e)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], ["doc_id", "start_char", "end_char"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     return rows.mapInArrow(run, "doc_id bigint, start_char bigint, end_char bigint")
+
+
+def coverage(units: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, covered, overlaps, blank_edges) of each document with a sentence: an audit of ``units`` against the texts.
+
+    ``covered`` counts the characters other than blanks inside sentences, each as
+    often as sentences hold it. Ids must be unique.
+    """
+    cut = units.groupBy("doc_id").agg(F.collect_list(F.struct("start_char", "end_char")).alias("at"))  # the sentences of one document
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+
+    @F.pandas_udf("struct<covered: bigint, overlaps: bigint, blank_edges: int>")
+    def audit(column: pd.Series, spans: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text, at in zip(column, spans):
+            places = np.array(sorted((u["start_char"], u["end_char"]) for u in at), dtype=np.int64)
+            filled = ~np.isin(code_points(text), BLANKS)
+            upto = np.concatenate([[0], np.cumsum(filled)])
+            start, end = places[:, 0], places[:, 1]
+            before = np.maximum.accumulate(end)[:-1]
+            rows.append((int((upto[end] - upto[start]).sum()), int((before > start[1:]).sum()), int((~filled[start] | ~filled[end - 1]).sum())))
+        return pd.DataFrame(rows, columns=["covered", "overlaps", "blank_edges"])
+
+    return cut.join(texts, "doc_id").select("doc_id", audit("text", "at").alias("a")).select("doc_id", "a.*")
