@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from siftstone.operators.scratch import written
 
 
+#: Rows of a group that one slice should hold, and the least number of slices.
+SLICE_ROWS, LEAST_SLICES = 100_000, 64
+
+
+def slices_for(rows: int) -> int:
+    """Slices for a group of this many rows: their number follows the group, so a slice's window stays the same size."""
+    return max(LEAST_SLICES, -(-rows // SLICE_ROWS))
+
+
 def grouped_position(rows: DataFrame, group: list[str], order_hash: Column, weight: Column, slices: int) -> DataFrame:
     """Adds ``position`` (rows before) and ``before`` (weight before) of each row in its group.
 
