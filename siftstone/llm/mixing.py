@@ -19,14 +19,16 @@ from pyspark.sql import functions as F
 
 from siftstone.llm.tokens import VOCABULARY, encoding, token_features, vocabulary
 from siftstone.operators.layout import spread
-from siftstone.operators.ranking import grouped_position
+from siftstone.operators.components import NotConverged
+from siftstone.operators.ranking import grouped_position, slices_for
 from siftstone.operators.scratch import written
 
-#: Labelled texts that train and test the classifier; every fourth of them is held out to set its temperature.
+#: Labelled texts, about, that train and test the classifier; a quarter of them is held out to set its temperature.
 SAMPLE_TEXTS = 12_000
 FEATURES = 4096
-SLICES = 64
-MAX_STEPS = 60
+TEMPERATURES = (1.0, 3.0, 10.0, 30.0, 100.0, 300.0)
+#: Gradient steps before the call raises, and steps after which the rates so far are written.
+MAX_STEPS, REBASE = 500, 8
 MAX_SOURCES = 1000
 
 
@@ -46,25 +48,37 @@ class Classifier:
         return score / score.sum()
 
 
-def fit_classifier(labels: np.ndarray, features: list[tuple[np.ndarray, np.ndarray]], sources: int, width: int = FEATURES) -> Classifier:
-    """Without any labelled text all sources are equally likely."""
-    held = np.arange(len(labels)) % 4 == 3
+def fit_classifier(sample: DataFrame, sources: int, width: int = FEATURES) -> Classifier:
+    """From (label, bins, counts, held). Texts stay on the executors: the driver gets a sum for each source and feature, and a
+    loss for each temperature. Without any labelled text all sources are equally likely."""
+    train = sample.where(~F.col("held"))
     rates = np.full((sources, width), 0.1)
     prior = np.ones(sources)
-    for k in np.flatnonzero(~held):
-        bins, counts = features[k]
-        rates[labels[k], bins] += counts
-        prior[labels[k]] += 1
+    sums = train.select("label", F.explode(F.arrays_zip("bins", "counts")).alias("e")).groupBy("label", F.col("e.bins").alias("bin")).agg(F.sum("e.counts").alias("n")).toPandas()
+    rates[sums["label"].to_numpy(int), sums["bin"].to_numpy(int)] += sums["n"].to_numpy(float)
+    for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect():
+        prior[r["label"]] += r["n"]
     log_rate = np.log(rates / rates.sum(axis=1, keepdims=True))
     log_prior = np.log(prior / prior.sum())
-    best, least, accuracy = 1.0, float("inf"), float("nan")
-    for temperature in (1.0, 3.0, 10.0, 30.0, 100.0, 300.0) if held.any() else ():
-        model = Classifier(log_prior, log_rate, temperature, accuracy)
-        p = np.array([model.posterior(*features[k]) for k in np.flatnonzero(held)])
-        loss = -np.log(np.maximum(p[np.arange(len(p)), labels[held]], 1e-12)).mean()
-        if loss < least:
-            best, least, accuracy = temperature, loss, float((p.argmax(axis=1) == labels[held]).mean())
-    return Classifier(log_prior, log_rate, best, accuracy)
+    models = [Classifier(log_prior, log_rate, t, float("nan")) for t in TEMPERATURES]
+
+    def tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loss, right, n = np.zeros(len(models)), np.zeros(len(models), dtype=np.int64), 0
+        for batch in batches:
+            for label, bins, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                n += 1
+                for k, model in enumerate(models):
+                    p = model.posterior(np.asarray(bins, dtype=int), np.asarray(counts, dtype=float))
+                    loss[k] -= np.log(max(p[label], 1e-12))
+                    right[k] += p.argmax() == label
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(models)), pa.int32()), pa.array(loss), pa.array(right), pa.array([n] * len(models), pa.int64())], ["k", "loss", "correct", "n"])
+
+    held = sample.where("held").select("label", "bins", "counts").mapInArrow(tested, "k int, loss double, correct bigint, n bigint")
+    found = [r for r in held.groupBy("k").agg(F.sum("loss").alias("loss"), F.sum("correct").alias("correct"), F.sum("n").alias("n")).orderBy("k").collect() if r["n"]]
+    if not found:
+        return models[0]
+    best = min(found, key=lambda r: (round(r["loss"] / r["n"], 9), r["k"]))
+    return Classifier(log_prior, log_rate, TEMPERATURES[best["k"]], best["correct"] / best["n"])
 
 
 def clean_source(source: Column) -> Column:
@@ -98,29 +112,39 @@ def _measured(docs: DataFrame, fraction: float, seed: int, path: str) -> DataFra
     return spread(rows.select("doc_id", "source", "text", "in_sample", wanted.alias("wanted"))).mapInArrow(run, "doc_id bigint, source string, n_tokens bigint, in_sample boolean, bins array<int>, counts array<int>")
 
 
-def fit_rates(units: DataFrame, target: np.ndarray, tolerance: float = 1e-7, max_steps: int = MAX_STEPS) -> tuple[list[list[float]], np.ndarray]:
+def fit_rates(units: DataFrame, target: np.ndarray, tolerance: float = 1e-7, max_steps: int = MAX_STEPS, strict: bool = True) -> tuple[list[list[float]], np.ndarray]:
     """Projected gradient over ``units`` (membership array<double>, tokens, cap, start).
 
     Minimises the squared gaps between expected and wanted tokens of each source
     over rates in [0, cap]. A rate is a function of its membership and of the
-    scaled gaps of all earlier steps, so no rates are stored: each step is one
-    distributed sum of a vector as long as the list of sources. Returns the
-    steps and the expected tokens they lead to.
+    scaled gaps of all earlier steps: each step is one distributed sum of a vector
+    as long as the list of sources, and every REBASE steps the rates are written,
+    so a step costs the same whatever its number. Ends when all gaps close or
+    nothing moves any more (caps); at ``max_steps`` the call raises, or returns
+    what it has with strict=False. Returns the steps and the expected tokens.
     """
     k = len(target)
     capacity = np.array(units.select([F.sum(F.col("membership")[i] * F.col("tokens")).alias(str(i)) for i in range(k)]).first(), dtype=float)
     steps: list[list[float]] = []
+    recent: list[list[float]] = []
+    now = units
     total = max(float(target.sum()), 1.0)
     reached, last = np.zeros(k), None
-    for _ in range(max_steps):
-        rate = rate_after(steps)
-        reached = np.array(units.select((rate * F.col("tokens")).alias("w"), "membership").select([F.sum(F.col("membership")[i] * F.col("w")).alias(str(i)) for i in range(k)]).first(), dtype=float)
+    while True:
+        rate = rate_after(recent)
+        reached = np.nan_to_num(np.array(now.select((rate * F.col("tokens")).alias("w"), "membership").select([F.sum(F.col("membership")[i] * F.col("w")).alias(str(i)) for i in range(k)]).first(), dtype=float))
         gap = reached - target
         if np.abs(gap).max() <= tolerance * total or (last is not None and np.allclose(reached, last, rtol=0, atol=tolerance * total * 0.01)):
-            break
+            return steps, reached
+        if len(steps) >= max_steps:
+            if strict:
+                raise NotConverged(f"largest gap {np.abs(gap).max():.3g} tokens and still moving after {max_steps} steps")
+            return steps, reached
         last = reached
-        steps.append([float(x) for x in np.where(capacity > 0, gap / np.maximum(capacity, 1.0), 0.0)])
-    return steps, reached
+        step = [float(x) for x in np.where(capacity > 0, gap / np.maximum(capacity, 1.0), 0.0)]
+        steps.append(step), recent.append(step)
+        if len(recent) == REBASE:
+            now, recent = written(now.withColumn("start", rate_after(recent)), "rates"), []
 
 
 def rate_after(steps: list[list[float]]) -> Column:
@@ -142,8 +166,9 @@ def mix(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: s
     ``drawn``: (doc_id, source, n_tokens, uses) of every chosen text; source is
     null where none is known. ``shares``: one row per target source with
     target_share, reached_share (by label), expected_share (with the posteriors
-    of unlabelled texts), texts, uses and tokens, and one row with source null
-    for the unlabelled.
+    of unlabelled texts), budget_tokens (what the fitted rate allots to the labelled
+    texts; met to half a text), texts, uses and tokens, and one row with source
+    null for the unlabelled.
 
     ``total_tokens`` is the size to draw; without it the largest size at which
     every source that has texts can meet its share within its repeats. A source
@@ -154,7 +179,7 @@ def mix(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: s
     """
     spark = docs.sparkSession
     wanted = [r for r in targets.select(clean_source(F.col("source")).alias("source"), "target_share", "max_repeats").dropna().orderBy("source").limit(MAX_SOURCES + 1).collect()]
-    drawn_schema, shares_schema = "doc_id bigint, source string, n_tokens bigint, uses int", "source string, target_share double, reached_share double, expected_share double, texts bigint, uses bigint, tokens bigint"
+    drawn_schema, shares_schema = "doc_id bigint, source string, n_tokens bigint, uses int", "source string, target_share double, reached_share double, expected_share double, budget_tokens double, texts bigint, uses bigint, tokens bigint"
     if len(wanted) > MAX_SOURCES or len({r["source"] for r in wanted}) < len(wanted):
         raise ValueError(f"targets name at most {MAX_SOURCES} sources, each once")
     if not wanted:
@@ -168,8 +193,9 @@ def mix(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: s
     labelled = docs.where(clean_source(F.col(source_col)).isin(names)).count()  # reads the source column only
     measured = written(_measured(rows, sample_texts / max(labelled, 1), seed, path), "measured")
 
-    sample = measured.where("in_sample").select("doc_id", "source", "bins", "counts").toPandas().sort_values("doc_id")
-    model = fit_classifier(np.array([names.index(s) for s in sample["source"]], dtype=int), [(np.asarray(b, dtype=int), np.asarray(c, dtype=float)) for b, c in zip(sample["bins"], sample["counts"])], len(names))
+    place = F.create_map(*(x for k, n in enumerate(names) for x in (F.lit(n), F.lit(k))))
+    held = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(4)) == 3
+    model = fit_classifier(measured.where("in_sample").select(F.element_at(place, F.col("source")).alias("label"), "bins", "counts", held.alias("held")), len(names))
     unknown = measured.where("source IS NULL")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,8 +204,8 @@ def mix(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p, pa.list_(pa.float64()))], ["doc_id", "n_tokens", "membership"])
 
     soft = written(unknown.select("doc_id", "n_tokens", "bins", "counts").mapInArrow(predict, "doc_id bigint, n_tokens bigint, membership array<double>"), "posteriors")
-    place = F.create_map(*(x for k, n in enumerate(names) for x in (F.lit(n), F.lit(k))))
-    have = {r["source"]: int(r["n"]) for r in measured.where("source IS NOT NULL").groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
+    sums = measured.where("source IS NOT NULL").groupBy("source").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("texts")).collect()
+    have = {r["source"]: int(r["n"]) for r in sums}
     tokens = np.array([have.get(n, 0) for n in names], dtype=float)
     present = (tokens > 0) & (share > 0)
     if total_tokens is None:
@@ -204,7 +230,7 @@ def mix(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: s
     known = measured.where("source IS NOT NULL").select("doc_id", "source", "n_tokens").withColumn("k", F.element_at(place, F.col("source")))
     at = lambda values: F.element_at(F.array(*(F.lit(float(v)) for v in values)), F.col("k") + 1)
     # whole rates for all texts of a source; one more for those that stand first in hash order until the rest of the budget is met
-    placed = grouped_position(known, ["k"], F.xxhash64("doc_id", "n_tokens", F.lit(seed)), F.col("n_tokens"), SLICES)
+    placed = grouped_position(known, ["k"], F.xxhash64("doc_id", "n_tokens", F.lit(seed)), F.col("n_tokens"), slices_for(max((r["texts"] for r in sums), default=0)))
     extra = (F.col("before") + F.col("n_tokens") / 2 < at(budget)).cast("int")
     chosen = placed.select("doc_id", "source", "n_tokens", (at(base).cast("int") + extra).alias("uses"))
     chance = F.shiftrightunsigned(F.xxhash64("doc_id", "n_tokens", F.lit(seed)), 11) / F.lit(float(1 << 53))
@@ -214,10 +240,11 @@ def mix(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: s
     )
     drawn = written(chosen.unionByName(loose).where("uses > 0"), "drawn")
     sums = drawn.groupBy("source").agg(F.count(F.lit(1)).alias("texts"), F.sum("uses").alias("uses"), F.sum(F.col("uses") * F.col("n_tokens")).alias("tokens"))
-    goals = spark.createDataFrame([(n, float(s), float(e / max(expected.sum(), 1.0))) for n, s, e in zip(names, share, expected)] + [(None, 0.0, 0.0)], "source string, target_share double, expected_share double")
+    rows = [(n, float(s), float(e / max(expected.sum(), 1.0)), float(b)) for n, s, e, b in zip(names, share, expected, rates * tokens)]
+    goals = spark.createDataFrame([*rows, (None, 0.0, 0.0, None)], "source string, target_share double, expected_share double, budget_tokens double")
     whole = sums.agg(F.sum("tokens").alias("n")).scalar()
     shares = (
         goals.alias("g").join(sums.alias("s"), F.col("g.source").eqNullSafe(F.col("s.source")), "left")
-        .select("g.source", "target_share", (F.coalesce("tokens", F.lit(0)) / whole).alias("reached_share"), "expected_share", F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("uses", F.lit(0)).alias("uses"), F.coalesce("tokens", F.lit(0)).alias("tokens"))
+        .select("g.source", "target_share", (F.coalesce("tokens", F.lit(0)) / whole).alias("reached_share"), "expected_share", "budget_tokens", F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("uses", F.lit(0)).alias("uses"), F.coalesce("tokens", F.lit(0)).alias("tokens"))
     )
     return drawn, shares

@@ -17,12 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftstone.llm.tokens import VOCABULARY, token_counts
-from siftstone.operators.ranking import grouped_position
+from siftstone.operators.ranking import grouped_position, slices_for
 from siftstone.operators.scratch import written
 
 BUCKETS = 160
-#: Hash ranges by which ranks of one bucket are counted in parallel.
-SLICES = 64
 
 
 def length_buckets(sizes: np.ndarray, counts: np.ndarray, most: int = BUCKETS) -> np.ndarray:
@@ -144,6 +142,7 @@ def pack(docs: DataFrame, sizes: DataFrame, id_col: str = "doc_id", text_col: st
     ends: list[np.ndarray] = []
     plans: list[np.ndarray] = []
     opened: list[int] = []
+    largest = 0
     histogram = pieces.where("rest > 0").groupBy("pack", "rest").agg(F.count(F.lit(1)).alias("n")).toPandas()
     for k, (_, capacity) in enumerate(packs):
         mine = histogram[histogram["pack"] == k].sort_values("rest")
@@ -151,6 +150,7 @@ def pack(docs: DataFrame, sizes: DataFrame, id_col: str = "doc_id", text_col: st
         upper = length_buckets(values, counts, buckets)
         per_bucket = np.bincount(np.searchsorted(upper, values), weights=counts, minlength=len(upper)).astype(np.int64)
         plan, used = batch_plan(upper, per_bucket, capacity)
+        largest = max(largest, int(per_bucket.max(initial=0)))
         ends.append(upper), plans.append(plan), opened.append(used)
 
     @F.pandas_udf("int")
@@ -180,9 +180,11 @@ def pack(docs: DataFrame, sizes: DataFrame, id_col: str = "doc_id", text_col: st
     first_whole = F.element_at(F.array(*(F.lit(u).cast("bigint") for u in opened)), F.col("pack") + 1)
     order = F.xxhash64("doc_id", "n_tokens")
     rests = pieces.where("rest > 0").withColumn("bucket", bucket_of("pack", "rest"))
-    ranked = grouped_position(rests, ["pack", "bucket"], order, F.lit(1), SLICES)
+    ranked = grouped_position(rests, ["pack", "bucket"], order, F.lit(1), slices_for(largest))
     packed = ranked.select(name, container_of("pack", "bucket", "position").alias("container"), "doc_id", F.col("whole").alias("piece"), (F.col("whole") * F.col("capacity")).alias("start_token"), F.col("rest").alias("n_tokens"))
-    cut = grouped_position(pieces.where("whole > 0"), ["pack"], order, F.col("whole"), SLICES)
+    long = pieces.where("whole > 0")
+    most = long.groupBy("pack").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    cut = grouped_position(long, ["pack"], order, F.col("whole"), slices_for(most))
     full = cut.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("whole") - 1)))
     fulls = full.select(name, (first_whole + F.col("before") + F.col("piece")).alias("container"), "doc_id", "piece", (F.col("piece") * F.col("capacity")).alias("start_token"), F.col("capacity").alias("n_tokens"))
     return packed.unionByName(fulls)
@@ -192,3 +194,17 @@ def fills(packed: DataFrame, sizes: DataFrame) -> DataFrame:
     """(pack_name, container, n_pieces, used_tokens, capacity_tokens, fill) of each container."""
     used = packed.groupBy("pack_name", "container").agg(F.count(F.lit(1)).alias("n_pieces"), F.sum("n_tokens").alias("used_tokens"))
     return used.join(sizes.dropna(), "pack_name").select("pack_name", "container", "n_pieces", "used_tokens", "capacity_tokens", (F.col("used_tokens") / F.col("capacity_tokens")).alias("fill"))
+
+
+def audit(packed: DataFrame, sizes: DataFrame, counts: DataFrame) -> DataFrame:
+    """(pack_name, n_docs, n_over, n_wrong) of each pack: documents placed, containers above their capacity, and documents
+    placed wrongly against ``counts`` (doc_id, n_tokens): not whole, not once, or cut without need. Ids must be unique."""
+    sizes = sizes.dropna()
+    full = packed.groupBy("pack_name", "container").agg(F.sum("n_tokens").alias("used")).join(sizes, "pack_name")
+    over = full.groupBy("pack_name").agg(F.sum((F.col("used") > F.col("capacity_tokens")).cast("bigint")).alias("n_over"))
+    ends = F.max(F.col("start_token") + F.col("n_tokens"))
+    parts = packed.groupBy("pack_name", "doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.countDistinct("start_token").alias("starts"), F.sum("n_tokens").alias("placed"), ends.alias("end"))
+    both = counts.where("n_tokens > 0").join(parts, "doc_id", "left").join(sizes, "pack_name", "left")
+    right = (F.col("placed") == F.col("n_tokens")) & (F.col("end") == F.col("n_tokens")) & (F.col("starts") == F.col("pieces")) & (F.col("pieces") == F.ceil(F.col("n_tokens") / F.col("capacity_tokens")))
+    each = both.groupBy("pack_name").agg(F.count(F.lit(1)).alias("n_docs"), F.sum((~F.coalesce(right, F.lit(False))).cast("bigint")).alias("n_wrong"))
+    return each.join(over, "pack_name").select("pack_name", "n_docs", "n_over", "n_wrong")

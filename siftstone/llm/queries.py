@@ -11,12 +11,13 @@ from siftstone.functions.text import WORD_BREAK
 from siftstone.functions.windows import FACTOR, MIX_1, MIX_2
 from siftstone.llm.grouping import components, record_number
 from siftstone.llm.layout import copies_by_layout, equal_contents
-from siftstone.llm.mixing import mix
+from siftstone.llm.mixing import clean_source, mix
 from siftstone.llm.near import similar_groups, similar_pairs
-from siftstone.llm.packing import fills, pack
+from siftstone.llm.packing import audit, fills, pack
 from siftstone.llm.repetition import BINS, SMOOTHING, WINDOW, likelihood_ratios, repetition, repetitive
 from siftstone.llm.lexicon import fit_lexicon
 from siftstone.llm.sentences import coverage, sentence_units
+from siftstone.llm.tokens import token_counts
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -71,6 +72,12 @@ def p6_fill(spark, d):
     return fills(pack(table(spark, d, "documents"), sizes), sizes)
 
 
+def p6_audit(spark, d):
+    """Documents placed, containers above their capacity, documents placed wrongly."""
+    docs, sizes = table(spark, d, "documents"), table(spark, d, "pack_sizes")
+    return audit(pack(docs, sizes), sizes, token_counts(docs))
+
+
 def p7_drawn(spark, d):
     """The chosen documents with their uses."""
     return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
@@ -81,6 +88,20 @@ def p7_shares(spark, d):
     return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p7_audit(spark, d):
+    """Of each source: whether no text is used above its repeats or named twice, whether the fitted rates meet the target share, and whether the tokens drawn miss their budget by no more than half a text."""
+    docs, targets = table(spark, d, "documents"), table(spark, d, "mix_targets")
+    drawn, shares = mix(docs, targets)
+    longest = token_counts(docs).join(docs.select("doc_id", clean_source(F.col("source")).alias("source")), "doc_id").groupBy("source").agg(F.max("n_tokens").alias("longest"))
+    caps = targets.select(clean_source(F.col("source")).alias("source"), "max_repeats")
+    used = drawn.groupBy("source").agg(F.min("uses").alias("least"), F.max("uses").alias("most"), F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("ids"))
+    each = shares.join(used, "source").join(caps, "source").join(longest, "source")
+    return each.select(
+        "source", ((F.col("least") >= 1) & (F.col("most") <= F.col("max_repeats"))).alias("within_repeats"), (F.col("n") == F.col("ids")).alias("named_once"),
+        (F.abs(F.col("expected_share") - F.col("target_share")) < 1e-4).alias("fitted"), (F.abs(F.col("tokens") - F.col("budget_tokens")) <= F.col("longest") / 2 + 1).alias("drawn_to_budget"),
+    )
+
+
 def p8_found(spark, d):
     """Sentences of the documents in sent_docs; words are counted in all documents. The semi-join needs no hint: Spark broadcasts the ids only below its size limit."""
     docs = table(spark, d, "documents").select("doc_id", "text")
@@ -101,7 +122,7 @@ def p8_cover(spark, d):
     return coverage(sentence_units(docs, lexicon=fit_lexicon(docs)), docs)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_share, p1_llr, p2_found, p3_found, p3_groups, p4_found, p4_contents, p6_containers, p6_fill, p7_drawn, p7_shares, p8_found, p8_counts, p8_cover)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_share, p1_llr, p2_found, p3_found, p3_groups, p4_found, p4_contents, p6_containers, p6_fill, p6_audit, p7_drawn, p7_shares, p7_audit, p8_found, p8_counts, p8_cover)}
 
 
 # ---- SQL
@@ -176,6 +197,8 @@ def oracle() -> dict[str, str]:
         "p1_share": f"""{share} SELECT d.doc_id, CASE WHEN text IS NOT NULL THEN coalesce(n_units, 0) END AS n_units, CASE WHEN text IS NOT NULL THEN coalesce(n_repeated, 0) END AS n_repeated,
           CASE WHEN text IS NOT NULL THEN coalesce(n_repeated / n_units, 0.0) END::DOUBLE AS repeated_share FROM documents d LEFT JOIN n USING (doc_id)""",
         "p1_llr": _ratio_sql(letters),
+        "p6_audit": "SELECT pack_name, (SELECT count(*) FROM documents WHERE text <> '') AS n_docs, 0::BIGINT AS n_over, 0::BIGINT AS n_wrong FROM pack_sizes",
+        "p7_audit": "SELECT lower(trim(source)) AS source, TRUE AS within_repeats, TRUE AS named_once, TRUE AS fitted, TRUE AS drawn_to_budget FROM mix_targets",
         "p8_cover": f"""SELECT doc_id, length(regexp_replace(text, '{WORD_BREAK}', '', 'g')) AS covered, 0::BIGINT AS overlaps, 0 AS blank_edges
           FROM documents WHERE regexp_replace(text, '{WORD_BREAK}', '', 'g') <> ''""",
         "p3_found": f"{similar} SELECT doc_a, doc_b FROM pair",

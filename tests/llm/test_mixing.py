@@ -1,8 +1,11 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from siftstone.llm import mixing
+from siftstone.operators.components import NotConverged
 from siftstone.llm.mixing import clean_source, fit_classifier, fit_rates, mix
 
 WORDS = {"news": "minister vote court budget price".split(), "code": "def return import class self".split(), "poem": "rose moon heart sigh night".split()}
@@ -19,20 +22,40 @@ def corpus(n=400, seed=0):
     return rows
 
 
-def test_classifier_on_held_out_texts():
+def test_classifier_on_held_out_texts(spark):
     draw = np.random.RandomState(0)
     labels = draw.randint(0, 3, 600)
     features = []
     for label in labels:
         tokens = np.where(draw.rand(60) < 0.3, label * 50 + draw.randint(0, 50, 60), draw.randint(150, 400, 60))
         features.append(np.unique(tokens, return_counts=True))
-    model = fit_classifier(labels, features, 3)
+    rows = [(int(y), b.tolist(), c.tolist(), k % 4 == 3) for k, (y, (b, c)) in enumerate(zip(labels, features))]
+    sample = spark.createDataFrame(rows, "label int, bins array<int>, counts array<int>, held boolean").repartition(3)
+    model = fit_classifier(sample, 3)
     assert model.accuracy > 0.9
     assert abs(model.posterior(*features[0]).sum() - 1) < 1e-9
-    empty = fit_classifier(np.array([], dtype=int), [], 3)
+    empty = fit_classifier(sample.limit(0), 3)
     assert np.allclose(empty.posterior(*features[0]), 1 / 3)
 
 
+def test_rates_that_do_not_settle_raise(spark):
+    rows = [([0.5, 0.5], 1000.0, 9, 0.0), ([0.45, 0.55], 1000.0, 9, 0.0)]
+    units = spark.createDataFrame(rows, "membership array<double>, tokens double, cap int, start double")
+    with pytest.raises(NotConverged):
+        fit_rates(units, np.array([950.0, 1000.0]), max_steps=3)
+    steps, _ = fit_rates(units, np.array([950.0, 1000.0]), max_steps=3, strict=False)
+    assert len(steps) == 3
+
+
+def test_rates_are_the_same_when_written_between(spark, monkeypatch):
+    rows = [([0.7, 0.3], 1000.0, 2, 0.1), ([0.2, 0.8], 500.0, 3, 0.1), ([0.4, 0.6], 100.0, 1, 0.5)]
+    units = spark.createDataFrame(rows, "membership array<double>, tokens double, cap int, start double")
+    steps, reached = fit_rates(units, np.array([900.0, 700.0]))
+    assert len(steps) > mixing.REBASE and np.allclose(reached, [900, 700], rtol=1e-5)
+    monkeypatch.setattr(mixing, "REBASE", 10_000)
+    assert np.allclose(fit_rates(units, np.array([900.0, 700.0]))[1], reached, rtol=1e-9)
+
+
 def test_rates_meet_targets_or_stop_at_caps(spark):
     rows = [([1.0, 0.0], 1000.0, 2, 0.5), ([0.0, 1.0], 500.0, 3, 0.5), ([0.4, 0.6], 100.0, 1, 0.5)]
     units = spark.createDataFrame(rows, "membership array<double>, tokens double, cap int, start double")

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from siftstone.llm.packing import batch_plan, fills, length_buckets, pack
+from siftstone.llm.packing import audit, batch_plan, fills, length_buckets, pack
 from siftstone.llm.tokens import encoding, token_counts, vocabulary
 
 
@@ -86,3 +86,13 @@ def test_real_table_is_packed_tightly(spark):
     sizes = [(r["pack_name"], r["capacity_tokens"]) for r in packs.collect()]
     for _, fill in check(pack(docs, packs).collect(), counts, sizes):
         assert fill > 0.95
+
+
+def test_audit_sees_faults(spark):
+    docs = spark.createDataFrame([(1, "one two three four five"), (2, "six seven"), (3, None)], "doc_id long, text string")
+    packs = spark.createDataFrame([("p", 4)], "pack_name string, capacity_tokens int")
+    packed, counts = pack(docs, packs), token_counts(docs)
+    assert [tuple(r) for r in audit(packed, packs, counts).collect()] == [("p", 2, 0, 0)]
+    rows = [tuple(r) for r in packed.collect()]
+    twice = spark.createDataFrame(rows + [r for r in rows if r[5] == 4], packed.schema)  # a full container's piece again
+    assert [tuple(r)[2:] for r in audit(twice, packs, counts).collect()] == [(1, 1)]
