@@ -95,10 +95,11 @@ def p7_audit(spark, d):
     longest = token_counts(docs).join(docs.select("doc_id", clean_source(F.col("source")).alias("source")), "doc_id").groupBy("source").agg(F.max("n_tokens").alias("longest"))
     caps = targets.select(clean_source(F.col("source")).alias("source"), "max_repeats")
     used = drawn.groupBy("source").agg(F.min("uses").alias("least"), F.max("uses").alias("most"), F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("ids"))
+    present = shares.where("budget_tokens > 0").agg(F.sum("target_share").alias("n")).scalar()  # a source without texts leaves its share to the others
     each = shares.join(used, "source").join(caps, "source").join(longest, "source")
     return each.select(
         "source", ((F.col("least") >= 1) & (F.col("most") <= F.col("max_repeats"))).alias("within_repeats"), (F.col("n") == F.col("ids")).alias("named_once"),
-        (F.abs(F.col("expected_share") - F.col("target_share")) < 1e-4).alias("fitted"), (F.abs(F.col("tokens") - F.col("budget_tokens")) <= F.col("longest") / 2 + 1).alias("drawn_to_budget"),
+        (F.abs(F.col("expected_share") - F.col("target_share") / present) < 1e-4).alias("fitted"), (F.abs(F.col("tokens") - F.col("budget_tokens")) <= F.col("longest") / 2 + 1).alias("drawn_to_budget"),
     )
 
 
@@ -198,7 +199,7 @@ def oracle() -> dict[str, str]:
           CASE WHEN text IS NOT NULL THEN coalesce(n_repeated / n_units, 0.0) END::DOUBLE AS repeated_share FROM documents d LEFT JOIN n USING (doc_id)""",
         "p1_llr": _ratio_sql(letters),
         "p6_audit": "SELECT pack_name, (SELECT count(*) FROM documents WHERE text <> '') AS n_docs, 0::BIGINT AS n_over, 0::BIGINT AS n_wrong FROM pack_sizes",
-        "p7_audit": "SELECT lower(trim(source)) AS source, TRUE AS within_repeats, TRUE AS named_once, TRUE AS fitted, TRUE AS drawn_to_budget FROM mix_targets",
+        "p7_audit": "SELECT lower(trim(source)) AS source, TRUE AS within_repeats, TRUE AS named_once, TRUE AS fitted, TRUE AS drawn_to_budget FROM mix_targets WHERE lower(trim(source)) IN (SELECT lower(trim(source)) FROM documents WHERE text <> '')",
         "p8_cover": f"""SELECT doc_id, length(regexp_replace(text, '{WORD_BREAK}', '', 'g')) AS covered, 0::BIGINT AS overlaps, 0 AS blank_edges
           FROM documents WHERE regexp_replace(text, '{WORD_BREAK}', '', 'g') <> ''""",
         "p3_found": f"{similar} SELECT doc_a, doc_b FROM pair",
