@@ -15,9 +15,8 @@ from siftstone.operators.scratch import written
 from siftstone.operators.skew import counted_heavy, lookup
 
 LEAST_CHARS = 40
-#: Words and characters a field's name may have.
-NAME_WORDS, NAME_CHARS = 3, 32
-_NAME = re.compile(r"[\s>*•\-–—#\"'_{]*([^\W\d_][^:：\n|;\"]{0,%d}?)[\s*\"'_]*[:：]" % (NAME_CHARS - 1))
+#: Marks of lists, quotations and emphasis that may stand before and after a field's name; marks that a name does not hold.
+BEFORE_NAME, AFTER_NAME, NOT_IN_NAME = ">*•-–—#\"'_{", "*\"'_", '\n|;"'
 
 
 def _filled(parts: list[str]) -> list[str]:
@@ -32,26 +31,54 @@ def _segmentations(text: str):
 
 
 def _pairs(parts: list[str]) -> list[tuple[str, str]]:
+    """Each part as (name, value), cut at its first colon; empty when one is no field: without a colon, or its name does not begin with a letter."""
     out = []
     for part in parts:
-        found = _NAME.match(part)
-        if not found or len(found[1].split()) > NAME_WORDS:
+        at = min((k for k in (part.find(":"), part.find("：")) if k >= 0), default=-1)
+        name = part[:at].strip() if at >= 0 else ""
+        while name and (name[0] in BEFORE_NAME or name[0].isspace()):
+            name = name.lstrip(BEFORE_NAME).lstrip()
+        while name and (name[-1] in AFTER_NAME or name[-1].isspace()):
+            name = name.rstrip(AFTER_NAME).rstrip()
+        if not name or not name[0].isalpha() or any(c in name for c in NOT_IN_NAME):
             return []
-        out.append((found[1], part[found.end() :]))
+        out.append((name, part[at + 1 :]))
     return out
 
 
+class _Fields(list):
+    """The (name, value) pairs of a JSON object."""
+
+
+def _spelled(value) -> str:
+    """A JSON value as text: items of a list in their order, fields of an object in that of their names."""
+    if isinstance(value, _Fields):
+        return " ".join(f"{k} {v}" for k, v in sorted((letters(k), _spelled(v)) for k, v in value))
+    if isinstance(value, list):
+        return " ".join(map(_spelled, value))
+    return value if isinstance(value, str) else json.dumps(value)
+
+
+def letters(text: str) -> str:
+    """The letters and digits of a text, in order, without letter case."""
+    return letters_and_digits(text).tobytes().decode("utf-32-le", "surrogatepass")
+
+
 def named_fields(text: str) -> list[tuple[bytes, bytes]] | None:
-    """(name, value) pairs, letters and digits only, when the text consists of two or more named fields and nothing else."""
+    """(name, value) pairs, letters and digits only, when the text consists of two or more named fields and nothing else.
+
+    A text is one JSON object, whatever its values, or pieces that all are a
+    name, a colon and a value: its lines, else what bars separate, else what
+    semicolons separate.
+    """
     start, end = text.find("{"), text.rfind("}")
     pairs: list[tuple[str, str]] = []
     if 0 <= start < end and not letters_and_digits(text[:start]).size and not letters_and_digits(text[end + 1 :]).size:
         try:
-            made = json.loads(text[start : end + 1], strict=False, object_pairs_hook=list)
-        except ValueError:
-            made = None
-        if made and all(isinstance(k, str) and isinstance(v, str | int | float) for k, v in made):
-            pairs = [(k, str(v)) for k, v in made]
+            made = json.loads(text[start : end + 1], strict=False, object_pairs_hook=_Fields, parse_float=str, parse_int=str)
+            pairs = [(k, _spelled(v)) for k, v in made]
+        except (ValueError, RecursionError):
+            pairs = []
     if not pairs:
         pairs = next((p for parts in _segmentations(text) if len(p := _pairs(parts)) > 1), [])
     if len(pairs) < 2:

@@ -182,11 +182,11 @@ def oracle() -> dict[str, str]:
         UNION ALL SELECT doc_id, 1, unnest(regexp_split_to_array(text, '[\\r\\n]+')) FROM d
         UNION ALL SELECT doc_id, 2, unnest(string_split(text, '|')) FROM d
         UNION ALL SELECT doc_id, 3, unnest(string_split(text, ';')) FROM d),
-      named AS (SELECT doc_id, kind, piece, regexp_extract(piece, '^([\\s>*•–—#"''_{{-]*)([\\p{{L}}][^:：\\n|;"]{{0,31}}?)([\\s*"''_]*[:：])', ['lead', 'name', 'colon']) AS m
+      named AS (SELECT doc_id, kind, piece, regexp_extract(piece, '^([\\s>*•–—#"''_{{-]*)([\\p{{L}}][^:：\\n|;"]*?)([\\s*"''_]*[:：])', ['lead', 'name', 'colon']) AS m
         FROM pieces WHERE {alnum("piece")} <> ''),
       split AS (SELECT doc_id, kind, m.name AS name, substr(piece, length(m.lead || m.name || m.colon) + 1) AS value FROM named),
       card AS (SELECT doc_id, kind, list_sort(list({alnum("name")} || chr(1) || {alnum("value")})) AS fields FROM split
-        GROUP BY 1, 2 HAVING count(*) > 1 AND bool_and(name <> '' AND len(regexp_split_to_array(trim(name), '\\s+')) <= 3)),
+        GROUP BY 1, 2 HAVING count(*) > 1 AND bool_and(name <> '')),
       keyed AS (SELECT d.doc_id, letters, arg_min(fields, kind) AS fields FROM d LEFT JOIN card USING (doc_id) GROUP BY 1, 2),
       content AS (SELECT doc_id, coalesce(array_to_string(min(fields) OVER (PARTITION BY letters), chr(2)), letters) AS content FROM keyed),
       first AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY content) AS first_doc FROM content)"""

@@ -33,6 +33,20 @@ def test_what_is_no_card():
         assert named_fields(t) is None
 
 
+def test_names_and_values_of_any_shape():
+    fields = {"Name of the keeper of the northern shelf of the old reading room": "Rilbrizan", "Year": "1876.50", "Keys": "a1, b2, c3", "Note": "kept: always"}
+    made = cards(fields, random.Random(2))
+    assert len({canonical(t)[1] for t in made}) == 1 and canonical(made[0])[1] is not None
+    one = '{"keys": ["a1", "b2", "c3"], "note": "kept: always", "year": 1876.50, "Name of the keeper of the northern shelf of the old reading room": "RILBRIZAN"}'
+    assert canonical(one)[1] == canonical(made[0])[1]
+    assert canonical(one.replace('"a1", "b2"', '"b2", "a1"'))[1] != canonical(one)[1]
+    nested = '{"size": {"w": 1, "h": null}, "ok": true, "list": [{"b": 1, "a": 2}]}'
+    turned = '{"list": [{"a": 2, "b": 1}], "ok": TRUE, "size": {"h": null, "w": 1}}'.replace("TRUE", "true")
+    assert canonical(nested)[1] == canonical(turned)[1] is not None
+    for t in ("x" + " " * 200_000, "a " * 100_000 + ":\n" * 3, "{" * 50_000 + "}" * 50_000, "[" * 20 + "{" + "[" * 100_000 + "}"):
+        canonical(t)  # ends, and soon
+
+
 def test_layout_changes_do_not_matter():
     t = "The quick (brown) fox, no. 9,\njumps over the lazy dog — twice!"
     for u in (t.upper(), t.replace(" ", "  "), "** " + t + "​", "the quick brown fox no 9 jumps over the lazy dog twice"):
