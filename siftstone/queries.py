@@ -22,9 +22,6 @@ from siftstone.plans import report
 from siftstone.plans.dedup import deduplicate, deduplicate_stripped, document_bands, drop_ids, removed_ids, with_signatures
 from siftstone.sources.tables import input_stamp, limited, preview_rows, read_documents, schema_rows, stored_or_computed, write_pairs_csv
 
-#: Fewer permutations than in production for the stages that SQL repeats value by value; FULL has them with all.
-SHORT = PLAIN.with_(num_perm=32)
-SHORT_STRIPPED = STRIPPED.with_(num_perm=32)
 #: What dedup_keep_ignoring deletes.
 IGNORED = "[ \t]*[0-9]+[ \t]*"
 SIZINGS = [(0.5, 128), (0.7, 16), (0.7, 32), (0.7, 64), (0.7, 128), (0.7, 256), (0.8, 128)]
@@ -111,32 +108,32 @@ def token_hashes(spark, d):
     return grams.select("gram", token_hash32(F.col("gram")).alias("hash"))
 
 
-def minhash_signature(spark, d, params=SHORT):
+def minhash_signature(spark, d, params=PLAIN):
     signed = with_signatures(spread(table(spark, d, "documents").select("doc_id", "text")), "text", params)
     return signed.where("minhash is not null").select("doc_id", F.posexplode("minhash").alias("perm_id", "value"))
 
 
-def empty_signature(spark, d, params=SHORT):
+def empty_signature(spark, d, params=PLAIN):
     """Texts with fewer than 200 code points have no 200-gram: their signature is all ones."""
     signed = with_signatures(spread(table(spark, d, "documents").select("doc_id", "text")), "text", params.with_(ngram=200))
     low = F.array_min("minhash").alias("low")
     return signed.select("doc_id", low, F.array_max("minhash").alias("high"), F.size("minhash").alias("n")).where(F.col("low") == MASK_32)
 
 
-def lsh_bands(spark, d, params=SHORT):
+def lsh_bands(spark, d, params=PLAIN):
     return document_bands(table(spark, d, "documents"), "doc_id", "text", params)
 
 
-def lsh_bands_rawkey(spark, d, params=SHORT_STRIPPED):
+def lsh_bands_rawkey(spark, d, params=STRIPPED):
     return document_bands(table(spark, d, "documents"), "doc_id", "text", params, raw=True)
 
 
-def bands_from_signatures(spark, d, params=SHORT):
+def bands_from_signatures(spark, d, params=PLAIN):
     signed = with_signatures(spread(table(spark, d, "documents").select("doc_id", "text")), "text", params).select("doc_id", "minhash")
     return explode_bands(signed, "doc_id", "minhash", params.bands, params.rows)
 
 
-def band_checkpoint_roundtrip(spark, d, params=SHORT):
+def band_checkpoint_roundtrip(spark, d, params=PLAIN):
     path = scratch_path(spark, "bands")
     docs = table(spark, d, "documents")
     make, stamp = partial(document_bands, docs, "doc_id", "text", params), input_stamp(docs, "doc_id")
@@ -219,7 +216,7 @@ def dedup_keep_stripped(spark, d):
     return kept.select("doc_id", F.md5("text").alias("text_md5"))
 
 
-def dedup_keep_string_order(spark, d, params=SHORT):
+def dedup_keep_string_order(spark, d, params=PLAIN):
     docs = table(spark, d, "documents")
     return deduplicate(docs, params=params.with_(id_order="string")).kept.select("doc_id")
 
@@ -314,11 +311,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-#: The same stages with all permutations of production, as NAME_full.
-FULL = {f: PLAIN for f in (minhash_signature, empty_signature, lsh_bands, bands_from_signatures, band_checkpoint_roundtrip, dedup_keep_string_order)} | {lsh_bands_rawkey: STRIPPED}
-QUERIES |= {f"{f.__name__}_full": partial(f, params=params) for f, params in FULL.items()}
-
-
 # ---- SQL
 
 LOWER = "lower(text)"
@@ -429,20 +421,12 @@ def oracle() -> dict[str, str]:
         "space_shingles": f"SELECT DISTINCT doc_id, gram AS shingle FROM ({_shingles(WORD_BREAK, 5)})",
         "token_hashes": f"""SELECT gram, ('0x' || substr(s,7,2) || substr(s,5,2) || substr(s,3,2) || substr(s,1,2))::BIGINT AS hash
           FROM (SELECT DISTINCT gram, sha1(gram) AS s FROM ({_grams(LOWER, 5)}) WHERE gram IS NOT NULL)""",
-        "minhash_signature": f"WITH {_signature_ctes(SHORT, LOWER)} SELECT id AS doc_id, perm_id, v AS value FROM sig",
-        "empty_signature": f"SELECT doc_id, {MASK_32} AS low, {MASK_32} AS high, {SHORT.num_perm} AS n FROM documents WHERE length(text) < 200",
-        "lsh_bands": f"WITH {_signature_ctes(SHORT, LOWER)} SELECT id AS doc_id, band_id, key AS band_hash FROM band",
-        "bands_from_signatures": f"WITH {_signature_ctes(SHORT, LOWER)} SELECT id AS doc_id, band_id, key AS band_hash FROM band",
-        "band_checkpoint_roundtrip": f"WITH {_signature_ctes(SHORT, LOWER)} SELECT id AS doc_id, band_id, key AS band_hash FROM band",
-        "lsh_bands_rawkey": f"WITH {_signature_ctes(SHORT_STRIPPED, STRIP)} SELECT id AS doc_id, band_id, raw_key AS band_key FROM band",
-        "minhash_signature_full": f"WITH {_signature_ctes(PLAIN, LOWER)} SELECT id AS doc_id, perm_id, v AS value FROM sig",
-        "empty_signature_full": f"SELECT doc_id, {MASK_32} AS low, {MASK_32} AS high, {PLAIN.num_perm} AS n FROM documents WHERE length(text) < 200",
-        **dict.fromkeys(
-            ("lsh_bands_full", "bands_from_signatures_full", "band_checkpoint_roundtrip_full"),
-            f"WITH {_signature_ctes(PLAIN, LOWER)} SELECT id AS doc_id, band_id, key AS band_hash FROM band",
-        ),
-        "lsh_bands_rawkey_full": f"WITH {_signature_ctes(STRIPPED, STRIP)} SELECT id AS doc_id, band_id, raw_key AS band_key FROM band",
-        "dedup_keep_string_order_full": _dedup(PLAIN, LOWER, "SELECT doc_id FROM documents WHERE doc_id::VARCHAR NOT IN (SELECT node FROM gone)", "sid", "(SELECT doc_id::VARCHAR AS sid, text FROM documents)"),
+        "minhash_signature": f"WITH {_signature_ctes(PLAIN, LOWER)} SELECT id AS doc_id, perm_id, v AS value FROM sig",
+        "empty_signature": f"SELECT doc_id, {MASK_32} AS low, {MASK_32} AS high, {PLAIN.num_perm} AS n FROM documents WHERE length(text) < 200",
+        "lsh_bands": f"WITH {_signature_ctes(PLAIN, LOWER)} SELECT id AS doc_id, band_id, key AS band_hash FROM band",
+        "bands_from_signatures": f"WITH {_signature_ctes(PLAIN, LOWER)} SELECT id AS doc_id, band_id, key AS band_hash FROM band",
+        "band_checkpoint_roundtrip": f"WITH {_signature_ctes(PLAIN, LOWER)} SELECT id AS doc_id, band_id, key AS band_hash FROM band",
+        "lsh_bands_rawkey": f"WITH {_signature_ctes(STRIPPED, STRIP)} SELECT id AS doc_id, band_id, raw_key AS band_key FROM band",
         "lsh_optimal_params": _sizing_sql(),
         "band_collisions": """SELECT band_id, band_hash, min(doc_id) AS rep, count(*) AS members FROM bands
           WHERE doc_id IS NOT NULL AND band_id IS NOT NULL AND band_hash IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1""",
@@ -463,7 +447,7 @@ def oracle() -> dict[str, str]:
         "dedup_keep": _dedup(PLAIN, LOWER, "SELECT doc_id, n_chars, source FROM documents WHERE doc_id NOT IN (SELECT node FROM gone)"),
         "duplicate_ids": _dedup(PLAIN, LOWER, "SELECT node AS doc_id FROM gone"),
         "dedup_keep_stripped": _dedup(STRIPPED, STRIP, "SELECT doc_id, md5(text) AS text_md5 FROM numbered WHERE uid NOT IN (SELECT node FROM gone)", "uid", "numbered", "raw_key", uid),
-        "dedup_keep_string_order": _dedup(SHORT, LOWER, "SELECT doc_id FROM documents WHERE doc_id::VARCHAR NOT IN (SELECT node FROM gone)", "sid", "(SELECT doc_id::VARCHAR AS sid, text FROM documents)"),
+        "dedup_keep_string_order": _dedup(PLAIN, LOWER, "SELECT doc_id FROM documents WHERE doc_id::VARCHAR NOT IN (SELECT node FROM gone)", "sid", "(SELECT doc_id::VARCHAR AS sid, text FROM documents)"),
         "dedup_metrics": _dedup(PLAIN, LOWER, """SELECT n_input, n_removed, n_input - n_removed AS n_kept, round(100.0 * n_removed / n_input, 4)::DOUBLE AS removed_percent
           FROM (SELECT (SELECT count(*) FROM documents) AS n_input, (SELECT count(*) FROM gone) AS n_removed)"""),
         "keep_by_stored_bands": f"{clusters} SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT node FROM cc WHERE root < node)",
