@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.tokens import VOCABULARY, encoding, token_features, vocabulary
+from siftstone.llm.tokens import encoding, token_features, vocabulary
 from siftstone.operators.layout import spread
 from siftstone.operators.components import NotConverged
 from siftstone.operators.ranking import grouped_position, slices_for
@@ -87,9 +87,9 @@ def clean_source(source: Column) -> Column:
     return F.when(name != "", name)
 
 
-def _measured(docs: DataFrame, fraction: float, seed: int, path: str) -> DataFrame:
+def _measured(docs: DataFrame, fraction: float, seed: int, path: str | None) -> DataFrame:
     """(doc_id, source, n_tokens, in_sample, bins, counts); features only where they are needed."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary(path, docs.sparkSession))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoding(shared.value)
@@ -160,7 +160,7 @@ def rate_after(steps: list[list[float]]) -> Column:
     return F.aggregate(taken, F.col("start"), one)
 
 
-def mix(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", total_tokens: int | None = None, seed: int = 7, path: str = VOCABULARY, sample_texts: int = SAMPLE_TEXTS) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", total_tokens: int | None = None, seed: int = 7, path: str | None = None, sample_texts: int = SAMPLE_TEXTS) -> tuple[DataFrame, DataFrame]:
     """(drawn, shares).
 
     ``drawn``: (doc_id, source, n_tokens, uses) of every chosen text; source is

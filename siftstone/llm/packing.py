@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.tokens import VOCABULARY, token_counts
+from siftstone.llm.tokens import token_counts
 from siftstone.operators.ranking import grouped_position, slices_for
 from siftstone.operators.scratch import written
 
@@ -114,7 +114,7 @@ def batch_plan(ends: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.
     return np.array(rows, dtype=np.int64).reshape(-1, 5), used
 
 
-def pack(docs: DataFrame, sizes: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY, buckets: int = BUCKETS) -> DataFrame:
+def pack(docs: DataFrame, sizes: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """(pack_name, container, doc_id, piece, start_token, n_tokens): where each text, or each piece of a text above the capacity, lies.
 
     A text of more tokens than the capacity is cut into full pieces, each a

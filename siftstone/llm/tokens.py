@@ -9,12 +9,14 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftstone.operators.layout import spread
 
-#: A ranks file in tiktoken's format. The driver reads it; its bytes (under 1 MB) travel with the tasks, so executors need no such file.
+#: A ranks file in tiktoken's format, where neither a path is given nor SETTING names one. The driver reads it; its bytes (under
+#: 1 MB) travel with the tasks, so executors need no such file.
+SETTING = "spark.siftstone.vocabulary"
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: the pre-token pattern that belongs to the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -26,14 +28,16 @@ def encoding(ranks: bytes) -> tiktoken.Encoding:
     return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={})
 
 
-def vocabulary(path: str = VOCABULARY) -> bytes:
-    with open(path, "rb") as f:
+def vocabulary(path: str | None = None, spark: SparkSession | None = None) -> bytes:
+    """Bytes of the ranks file at ``path``, else at the one that the session's settings name, else at the default place."""
+    named = spark.conf.get(SETTING, None) if spark is not None else None
+    with open(path or named or VOCABULARY, "rb") as f:
         return f.read()
 
 
-def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
+def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens) of every row, null for a null text; one Arrow pass over whole texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary(path, docs.sparkSession))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoding(shared.value)
