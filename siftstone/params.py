@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 from siftstone.functions.lsh import optimal_bands
+from siftstone.operators.components import TASK_EDGES
 
 
 @dataclass(frozen=True)
@@ -19,7 +20,8 @@ class DedupParams:
     tokens: "merge" gives them one common signature, so one of them
     survives; "keep" leaves them alone. A null text is always kept and never
     linked. ``id_order`` is "native" or "string" and decides which member of a
-    group is the smallest, hence kept.
+    group is the smallest, hence kept. At most ``task_edges`` links are left to one
+    task when components are formed; 0 contracts all of them in rounds.
     """
 
     threshold: float = 0.7
@@ -35,6 +37,7 @@ class DedupParams:
     bands: int | None = None
     rows: int | None = None
     max_iterations: int = 100
+    task_edges: int = TASK_EDGES
 
     def __post_init__(self) -> None:
         if not 0 <= self.threshold <= 1:

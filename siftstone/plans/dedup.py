@@ -62,7 +62,7 @@ def _bands(docs: DataFrame, id_col: str, text_col: str, params: DedupParams, ban
     made = partial(document_bands, docs, id_col, text_col, params, raw)
     if not bands_path:
         return written(made(), "bands")
-    stamp = {"columns": [id_col, text_col], "raw": raw, "params": {k: v for k, v in asdict(params).items() if k not in ("threshold", "max_iterations")}}
+    stamp = {"columns": [id_col, text_col], "raw": raw, "params": {k: v for k, v in asdict(params).items() if k not in ("threshold", "max_iterations", "task_edges")}}
     return stored_or_computed(docs.sparkSession, bands_path, made, stamp | input_stamp(docs, id_col))
 
 
@@ -76,7 +76,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the same input with the same parameters; anything else found there is an error.
     """
     links = written(duplicate_links(_bands(docs, id_col, text_col, params, bands_path, raw)), "links")
-    clusters = written(connected_components(links, max_iterations=params.max_iterations), "clusters")
+    clusters = written(connected_components(links, max_iterations=params.max_iterations, task_edges=params.task_edges), "clusters")
     gone = removed_ids(clusters)
     return DedupResult(drop_ids(docs, id_col, gone, params.id_order), gone, clusters.withColumnRenamed("node", "doc_id"), links)
 

@@ -21,6 +21,7 @@ from siftstone.params import PLAIN, STRIPPED, DedupParams
 from siftstone.plans import report
 from siftstone.plans.dedup import deduplicate, deduplicate_stripped, document_bands, drop_ids, removed_ids, with_signatures
 from siftstone.sources.tables import input_stamp, limited, preview_rows, read_documents, schema_rows, stored_or_computed, write_pairs_csv
+from siftstone.streaming.incremental import deduplicate_stream, read_stream
 
 #: What dedup_keep_ignoring deletes.
 IGNORED = "[ \t]*[0-9]+[ \t]*"
@@ -207,6 +208,20 @@ def dedup_keep(spark, d):
     return deduplicate(table(spark, d, "documents")).kept.select("doc_id", "n_chars", "source")
 
 
+def dedup_keep_by_stars(spark, d):
+    """The same with every link contracted in rounds, none left to one task."""
+    return deduplicate(table(spark, d, "documents"), params=PLAIN.with_(task_edges=0)).kept.select("doc_id")
+
+
+def stream_keep(spark, d):
+    """Documents that a stream accepts when all of them come in one batch."""
+    source, index, out, marks = (scratch_path(spark, name) for name in ("stream-in", "stream-index", "stream-out", "stream-marks"))
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs.write.parquet(source)
+    deduplicate_stream(read_stream(spark, source, docs.schema, 1_000_000), index, out, marks).awaitTermination()
+    return spark.read.parquet(out).select("doc_id")
+
+
 def duplicate_ids(spark, d):
     return deduplicate(table(spark, d, "documents")).removed
 
@@ -306,7 +321,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         band_collisions, band_star_edges, pairs_csv_roundtrip, distinct_edges, large_star_step, small_star_step,
         components_of_edges, components_by_stars, components_of_orders, components_of_strings, band_clusters,
         glob_any_depth, partition_columns, dedup_keep_punctuation, dedup_keep_space, dedup_keep_ignoring, stripped_links, stripped_cluster_sizes,
-        dedup_keep, duplicate_ids, dedup_keep_stripped, dedup_keep_string_order, dedup_metrics, keep_by_stored_bands, cluster_sizes, cluster_samples,
+        dedup_keep, dedup_keep_by_stars, stream_keep, duplicate_ids, dedup_keep_stripped, dedup_keep_string_order, dedup_metrics, keep_by_stored_bands, cluster_sizes, cluster_samples,
         p5_key_stats, p5_found,
     )
 }
@@ -445,6 +460,7 @@ def oracle() -> dict[str, str]:
         "components_of_strings": "WITH RECURSIVE " + _components_ctes("SELECT DISTINCT src::VARCHAR AS a, dst::VARCHAR AS b FROM edges WHERE src IS NOT NULL AND dst IS NOT NULL") + " SELECT node, root FROM cc",
         "band_clusters": f"{clusters} SELECT node AS doc_id, root FROM cc",
         "dedup_keep": _dedup(PLAIN, LOWER, "SELECT doc_id, n_chars, source FROM documents WHERE doc_id NOT IN (SELECT node FROM gone)"),
+        **dict.fromkeys(("dedup_keep_by_stars", "stream_keep"), _dedup(PLAIN, LOWER, "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT node FROM gone)")),
         "duplicate_ids": _dedup(PLAIN, LOWER, "SELECT node AS doc_id FROM gone"),
         "dedup_keep_stripped": _dedup(STRIPPED, STRIP, "SELECT doc_id, md5(text) AS text_md5 FROM numbered WHERE uid NOT IN (SELECT node FROM gone)", "uid", "numbered", "raw_key", uid),
         "dedup_keep_string_order": _dedup(PLAIN, LOWER, "SELECT doc_id FROM documents WHERE doc_id::VARCHAR NOT IN (SELECT node FROM gone)", "sid", "(SELECT doc_id::VARCHAR AS sid, text FROM documents)"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from siftstone.operators.components import connected_components
 from siftstone.operators.edges import star_edges
@@ -44,5 +45,5 @@ def deduplicate_stream(stream: DataFrame, index_path: str, output_path: str, che
     return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint_path).trigger(availableNow=True).start()
 
 
-def read_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 100) -> DataFrame:
+def read_stream(spark: SparkSession, path: str, schema: str | StructType, files_per_batch: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
