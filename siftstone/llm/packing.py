@@ -204,7 +204,7 @@ def audit(packed: DataFrame, sizes: DataFrame, counts: DataFrame) -> DataFrame:
     over = full.groupBy("pack_name").agg(F.sum((F.col("used") > F.col("capacity_tokens")).cast("bigint")).alias("n_over"))
     ends = F.max(F.col("start_token") + F.col("n_tokens"))
     parts = packed.groupBy("pack_name", "doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.countDistinct("start_token").alias("starts"), F.sum("n_tokens").alias("placed"), ends.alias("end"))
-    both = counts.where("n_tokens > 0").join(parts, "doc_id", "left").join(sizes, "pack_name", "left")
+    both = counts.where("n_tokens > 0").join(parts.hint("merge"), "doc_id", "left").join(sizes, "pack_name", "left")
     right = (F.col("placed") == F.col("n_tokens")) & (F.col("end") == F.col("n_tokens")) & (F.col("starts") == F.col("pieces")) & (F.col("pieces") == F.ceil(F.col("n_tokens") / F.col("capacity_tokens")))
     each = both.groupBy("pack_name").agg(F.count(F.lit(1)).alias("n_docs"), F.sum((~F.coalesce(right, F.lit(False))).cast("bigint")).alias("n_wrong"))
     return each.join(over, "pack_name").select("pack_name", "n_docs", "n_over", "n_wrong")
