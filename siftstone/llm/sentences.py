@@ -34,6 +34,8 @@ HARD = "。！？｡।॥؟۔"
 OPENERS = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "【": "】", "《": "》", "〈": "〉", "「": "」", "『": "』", "«": "»", "‹": "›", "“": "”", "„": "“”"}
 CLOSERS = frozenset("".join(OPENERS.values()) + "\"")
 BRACKETS = frozenset("([{（［【")
+#: Opening marks that each mark may close.
+PARTNERS = {ch: frozenset(o for o in [*OPENERS, '"'] if ch == o or ch in OPENERS.get(o, "")) for ch in {*OPENERS, *CLOSERS}}
 DASHES = "—–―-"
 #: Before a name: never the end of a sentence.
 TITLES = frozenset("mr mrs ms dr prof capt rev st gen col lt sgt gov sen hon sr sra srta dra dn dña d mme mlle me mgr fr hr ing dipl г-н г-жа проф акад ул डॉ श्री د أ".split())
@@ -62,14 +64,16 @@ CONTINUING = ",，、،;；:：%&/+=)]}）］】」』»›”"
 
 _BREAK = re.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
 _LIST = re.compile(r"[ \t 　]*(?:[-–—*•‣◦·▪●+]|\d{1,3}[.)]|\[\d{1,2}(?::\d{2})+\])[ \t 　]")
-_FIELD = re.compile(r"[ \t]*[\W_]*[^\W\d_][\w.]*(?: [\w.]+){0,2}[\W_]{0,3}[:：]\s")
+_FIELD = re.compile(r"[\W_]*[^\W\d_][\w.]*(?: [\w.]+){0,2}[\W_]{0,3}[:：]\s")
 _HEADING = re.compile(r"[ \t]*#{1,6}[ \t]")
 #: A lower-case word that is not of mixed case, such as pH.
 _GOES_ON = re.compile(r"[ \t]*(?:[a-zß-öø-ÿа-яё])(?![A-ZÀ-ÞА-Я])")
 _RUN = re.compile(f"[{re.escape(TERMINATORS)}]+")
 _EVENT = re.compile("[" + re.escape("".join(OPENERS) + "".join(CLOSERS)) + "]")
 _THAI_GAP = re.compile(r"(?<=[฀-๿])\s+|\s+(?=[฀-๿])")
-_ADDRESS = re.compile(r"@|://|^www\.|\.(?:txt|csv|pdf|json|html?|com|org|net|example|xml|zip|md|py|jpg|png)\W*$", re.IGNORECASE)
+#: How a file or a site ends.
+_EXTENSION = re.compile(r"\.(?:txt|csv|pdf|json|html?|com|org|net|example|xml|zip|md|py|jpg|png)\W*$", re.IGNORECASE)
+_TOKEN = re.compile(r"\S*")
 #: What an address is known by before its end.
 _ADDRESS_START = re.compile(r"@|://|^www\.", re.IGNORECASE)
 _WORDS = REPORTING_WORDS | QUOTATIVES | RESUMING_WORDS | FINAL_WORDS
@@ -159,24 +163,32 @@ class _Segment:
         self.text, self.start, self.end, self.cased, self.lexicon = text, start, end, cased, lexicon
         self.spans = self._spans()
         self.run = (start, start, end)
+        self.token = (start, start, -1, False)
 
     def _spans(self) -> list[tuple[int, int]]:
         """Outermost matched quotations and brackets, both ends included; what has no partner counts as ordinary."""
         stack: list[tuple[str, int]] = []
+        held = dict.fromkeys([*OPENERS, '"'], 0)  # of each opening mark, how many are on the stack; so a mark without a partner costs no search
         found: list[tuple[int, int]] = []
         text = self.text
         for m in _EVENT.finditer(text, self.start, self.end):
             ch, at = m[0], m.start()
-            match = next((k for k in range(len(stack) - 1, -1, -1) if ch == stack[k][0] or ch in OPENERS.get(stack[k][0], "")), None)
+            match = None
+            if any(held[o] for o in PARTNERS[ch]):
+                match = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in PARTNERS[ch])
             if ch == '"':
                 if match is None:
                     stack.append((ch, at))
+                    held[ch] += 1
                     continue
             elif ch in OPENERS and not (ch == "“" and match is not None and stack[match][0] == "„"):
                 stack.append((ch, at))
+                held[ch] += 1
                 continue
             if match is not None:
                 found.append((stack[match][1], at))
+                for o, _ in stack[match:]:
+                    held[o] -= 1
                 del stack[match:]
         found.sort()
         outer: list[tuple[int, int]] = []
@@ -228,6 +240,18 @@ class _Segment:
             self.run = (k, end, end - len(run) + found.start() if found else end)
         return self.run[2] < at
 
+    def _near_address(self, at: int) -> bool:
+        """Whether the token around a place (up to blanks) ends as a file or site does, or has the mark of an address at most 64 characters before the place or after it; each token is read once."""
+        if not self.token[0] < at <= self.token[1]:
+            text, k, end = self.text, at, at
+            while k > self.start and not text[k - 1].isspace():
+                k -= 1
+            end = _TOKEN.match(text, at).end()
+            marks = max(text.rfind("@", k, end), text.rfind("://", k, end))
+            tail = text[max(k, end - 80) : end].rstrip(".!?,;:")
+            self.token = (k, end, marks, bool(_EXTENSION.search(tail)))
+        return self.token[3] or self.token[2] >= max(self.token[0], at - 64)
+
     def _clauses(self, a: int, nxt: int) -> tuple[str, str]:
         """The whole clauses that end and begin at two places; empty where another script stands there."""
         k = a
@@ -253,13 +277,11 @@ class _Segment:
                 return 3.0 if _ellipsis_ends(*self._clauses(a, nxt), self.lexicon) else NEVER
             if kind in ("lower", "more"):
                 return NEVER
-            word = re.compile(r"\S+").match(text, nxt)[0]
-            return NEVER if word in RESUMING else 3.0
+            return NEVER if text[nxt : nxt + 12].split(None, 1)[0] in RESUMING else 3.0
         if kind == "more":
             return NEVER
         if close:
-            token = re.compile(r"\S*").match(text, b)[0]
-            if self._in_address(a) or _ADDRESS.search(self._token(a) + run + token.rstrip(".!?,;:")):
+            if self._in_address(a) or self._near_address(a):
                 return NEVER
         if "!" in run or "?" in run:
             return NEVER if kind == "lower" else 4.0
@@ -335,11 +357,16 @@ class _Segment:
         out: list[tuple[int, float]] = []
         text, at, unit = self.text, self.start, self.start
         thai = any("฀" <= c <= "๿" for c in text[self.start : self.end])
+        starts = {s for s, _ in self.spans}
         spans = iter([*self.spans, (self.end, self.end)])
         a, z = next(spans)
+        run, blank, fresh = None, None, True  # each match is kept until it is passed
         while at < self.end:
-            run = _RUN.search(text, at, a)
-            blank = _THAI_GAP.search(text, at, a) if thai else None
+            if fresh or run and run.start() < at:
+                run = _RUN.search(text, at, a)
+            if thai and (fresh or blank and blank.start() < at):
+                blank = _THAI_GAP.search(text, at, a)
+            fresh = False
             if blank and (not run or blank.start() < run.start()):
                 left, right = text[blank.start() - 1 : blank.start()], text[blank.end() : blank.end() + 1]
                 number = left.isdigit() or right.isdigit()
@@ -352,7 +379,7 @@ class _Segment:
             if run:
                 start, end = run.span()
                 weight = self._point(start, end, unit)
-                while end < a and text[end] in CLOSERS and end not in (s for s, _ in self.spans):
+                while end < a and text[end] in CLOSERS and end not in starts:
                     end += 1
                 out.append((end, weight))
                 if weight > 0:
@@ -368,6 +395,7 @@ class _Segment:
                     unit = z + 1
             at = z + 1
             a, z = next(spans)
+            fresh = True
         return out
 
     def units(self) -> Iterator[tuple[int, int]]:
@@ -388,17 +416,19 @@ def best_units(text: str, start: int, end: int, gaps: list[tuple[int, float]]) -
     score = [0.0] + [float("-inf")] * (len(nodes) - 1)
     source = [0] * len(nodes)
     top = last = 0  # best node before the last letter or digit; last such node
+    after: int | None = None  # best node after it
     for j in range(1, len(nodes)):
         filled = any(c.isalnum() for c in text[nodes[j - 1][0] : nodes[j][0]])
         if filled:
             top = max((top, *range(last + 1, j)), key=lambda i: score[i])
-            last = j - 1
+            last, after = j - 1, None
             choice, value = top, score[top]
         else:
             choice, value = top, score[top]
-            for i in range(last + 1, j):
-                if score[i] - 3 * SURE > value:
-                    choice, value = i, score[i] - 3 * SURE
+            if j - 1 > last and (after is None or score[j - 1] > score[after]):
+                after = j - 1
+            if after is not None and score[after] - 3 * SURE > value:
+                choice, value = after, score[after] - 3 * SURE
         score[j], source[j] = value + nodes[j][1], choice
     cuts, j = [], len(nodes) - 1
     while j:
@@ -407,17 +437,19 @@ def best_units(text: str, start: int, end: int, gaps: list[tuple[int, float]]) -
     yield from reversed(cuts)
 
 
-def _all_fields(text: str, lines: list[tuple[int, int]], k: int) -> bool:
-    """Whether the line and all that follow to the next blank line are named fields, two or more."""
-    n = 0
-    for a, b in lines[k:]:
-        line = text[a:b]
+def _field_runs(text: str, lines: list[tuple[int, int]]) -> list[bool]:
+    """For each line whether it and all that follow to the next blank line are named fields, two or more; one pass from the end."""
+    out, n = [False] * len(lines), 0
+    for k in range(len(lines) - 1, -1, -1):
+        line = text[lines[k][0] : lines[k][1]]
         if not line.strip():
-            break
-        if not _FIELD.match(line):
-            return False
-        n += 1
-    return n > 1
+            n = 0
+        elif n < 0 or not _FIELD.match(line):
+            n = -1
+        else:
+            n += 1
+        out[k] = n > 1
+    return out
 
 
 def segments(text: str) -> Iterator[tuple[int, int]]:
@@ -428,6 +460,7 @@ def segments(text: str) -> Iterator[tuple[int, int]]:
         lines.append((at, m.start()))
         at = m.end()
     lines.append((at, len(text)))
+    fields = _field_runs(text, lines)
     start: int | None = None
     for k, (a, b) in enumerate(lines):
         line = text[a:b]
@@ -449,7 +482,7 @@ def segments(text: str) -> Iterator[tuple[int, int]]:
             or bool(_LIST.match(follows) or _HEADING.match(follows))
             or (marked and first and (len(line) <= HEADING_CHARS or not follows[:1].islower()))
             or (first and not ended and len(line.strip()) <= HEADING_CHARS and not _GOES_ON.match(follows))
-            or _all_fields(text, lines, k)
+            or fields[k]
         )
         if hard and follows.strip():
             yield start, b

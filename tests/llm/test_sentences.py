@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from siftstone.llm.lexicon import DOTS, OTHER, SURE, count_edges, fit_lexicon
@@ -147,3 +149,15 @@ def test_coverage(spark):
     assert got == {1: (10, 0, 0), 4: (4, 0, 0)}
     wrong = spark.createDataFrame([(1, 0, 5), (1, 3, 8)], "doc_id long, start_char long, end_char long")
     assert [tuple(r)[1:] for r in coverage(wrong, docs).collect()] == [(8, 1, 1)]
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["ตลาดแห้งวัด " * 30_000, " " * 500_000 + "a. B", "a.b" * 80_000, "a...b" * 40_000, "! " * 80_000 + "a", "(a. “ " * 20_000 + '" x 」' * 20_000, "Some field name: a value that is longer than forty characters indeed\n" * 10_000, "他走了……也许" * 20_000, "_" * 200_000 + "\nx"],
+    ids=["blanks", "blank line", "points", "dots", "marks", "open brackets", "fields", "ellipses", "rule"],
+)
+def test_very_long_texts_take_time_in_proportion(text):
+    began = time.process_time()
+    got = sentences(text)
+    assert time.process_time() - began < 10
+    assert sum(b - a for a, b in got) <= len(text) and all(p[1] <= q[0] for p, q in zip(got, got[1:]))
